@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tesserine.llm import near_dedup
+from tesserine.llm import bpe_codec, embedding_dedup, near_dedup, packing
 
 QUERIES = {
+    "op4_packing": packing.op4_packing,
     "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
+    "op7_bpe_codec": bpe_codec.op7_bpe_codec,
+    "op8_embedding_near_dedup": embedding_dedup.op8_embedding_near_dedup,
 }
 ORACLE_SQL = {
     "op6_minhash_near_dedup": near_dedup.SQL,
+    "op8_embedding_near_dedup": embedding_dedup.SQL,
 }

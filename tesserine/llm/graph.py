@@ -41,30 +41,28 @@ def components(edges: DataFrame) -> DataFrame:
 def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components ``id, component`` of the ids that share a bucket and that ``verify`` links.
 
-    ``members(bucket, id)`` holds an id once a bucket. ``verify`` takes distinct pairs
-    ``(a, b)``, a < b, and returns those that are links. In each round every bucket
-    elects a few hubs, and only pairs of a hub with a member of another component are
-    verified; then the hubs leave their buckets, and buckets whose members are all of one
-    component close. The number of hubs grows eightfold a round. So a bucket of copies
-    costs a row for each member, no pair of the bucket is left undecided unless its ends are
-    already connected, and hub election is a partially aggregated minimum.
+    ``members(bucket, id)``, materialised, holds an id once a bucket and no bucket of one id.
+    ``verify`` takes distinct pairs ``(a, b)``, a < b, and returns those that are links. In
+    each round every bucket elects a few hubs, and only pairs of a hub with a member of another
+    component are verified; then the hubs leave their buckets, and buckets whose members are all
+    of one component close. One hub first, thirty-two times as many in each further round. So a
+    bucket of copies costs a row for each member, no pair of a bucket is left undecided unless
+    its ends are connected already, and the election is a partially aggregated minimum.
     """
-    size = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket")
-    members = cut(members.join(size, "bucket").withColumn("label", F.col("id")))
+    members = members.select("bucket", "id", F.col("id").alias("label"))
     links, found, slots = None, None, 1
-    while not members.isEmpty():
+    while found is None or not members.isEmpty():
         slot = F.pmod(F.xxhash64("id", F.lit(slots)), F.lit(slots)).alias("slot")
-        hubs = cut(members.groupBy("bucket", slot).agg(F.min_by(F.struct("id", "label"), "id").alias("hub")).select("bucket", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label")))
+        elected = members.groupBy("bucket", slot).agg(F.min("id").alias("hub")).select("bucket", "hub")
+        hubs = elected if found is None else elected.join(found.select(F.col("id").alias("hub"), "component"), "hub", "left").select("bucket", "hub", F.coalesce("component", "hub").alias("hub_label"))
+        hubs = hubs.withColumn("hub_label", F.col("hub")) if found is None else hubs
         pairs = members.join(hubs, "bucket").where("label <> hub_label").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         new = cut(verify(pairs))
         links = new if links is None else links.union(new)
         found = cut(components(links))
-        left = members.select("bucket", "id").join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
+        left = members.select("bucket", "id").join(elected.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
         left = left.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
         mixed = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        # A hub's component may still lack links of members that differ from it; those stay, since their bucket is mixed or they meet only there.
         members = cut(left.join(mixed, "bucket"))
-        slots *= 8
-    if found is None:
-        return members.select("id", F.col("id").alias("component")).where("false")
+        slots *= 32
     return found

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tesserine.llm import bpe_codec, embedding_dedup, near_dedup, nearest, packing
+from tesserine.llm import bpe_codec, embedding_dedup, language, near_dedup, nearest, packing, secrets, toxicity
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_language_id": language.op2_language_id,
     "op4_packing": packing.op4_packing,
     "op5_nearest_neighbours": nearest.op5_nearest_neighbours,
     "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
     "op7_bpe_codec": bpe_codec.op7_bpe_codec,
     "op8_embedding_near_dedup": embedding_dedup.op8_embedding_near_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLE_SQL = {
     "op6_minhash_near_dedup": near_dedup.SQL,

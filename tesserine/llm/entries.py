@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tesserine.llm import bpe_codec, embedding_dedup, language, near_dedup, nearest, packing, secrets, toxicity
+from tesserine.llm import bpe_codec, embedding_dedup, language, line_dedup, near_dedup, nearest, packing, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_language_id": language.op2_language_id,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_packing": packing.op4_packing,
     "op5_nearest_neighbours": nearest.op5_nearest_neighbours,
     "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
@@ -18,3 +19,12 @@ ORACLE_SQL = {
     "op6_minhash_near_dedup": near_dedup.SQL,
     "op8_embedding_near_dedup": embedding_dedup.SQL,
 }
+
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserine.llm import bpe_codec, embedding_dedup, language, line_dedup, near_dedup, nearest, packing, secrets, toxicity
+from tesserine.llm import bpe_codec, embedding_dedup, language, line_dedup, near_dedup, nearest, packing, secrets, substring_dedup, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_bpe_codec": bpe_codec.op7_bpe_codec,
     "op8_embedding_near_dedup": embedding_dedup.op8_embedding_near_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLE_SQL = {
     "op6_minhash_near_dedup": near_dedup.SQL,

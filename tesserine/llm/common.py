@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -22,12 +23,18 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is the session's ``spark.checkpoint.dir``; only where none is set
     (single-machine tests) a temporary one is used. Files go when Spark's cleaner
-    sees that nothing refers to them any more.
+    sees that nothing refers to them any more. Shuffle files behind the cut go the same way,
+    so the collectors of both languages are called: a long operator then never holds
+    the shuffles of more than a step or two on disk.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tesserine-checkpoint-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return out
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACTION = F.coalesce("session_id", F.col("id").cast("string"))
+def action() -> Column:
+    """A search's session, or the row itself where it has none."""
+    return F.coalesce("session_id", F.col("id").cast("string"))
 
 
 def in_range(log: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -29,14 +31,15 @@ def local_date(zone: str | None = None) -> Column:
 def actions(log: DataFrame, *dims: str | Column, **aggregates: Column) -> DataFrame:
     """One row for each combination of dims and action."""
     named = [F.count("*").alias("rows")] if not aggregates else [v.alias(k) for k, v in aggregates.items()]
-    return log.groupBy(*dims, ACTION.alias("action")).agg(*named)
+    return log.groupBy(*dims, action().alias("action")).agg(*named)
 
 
 def _outcomes() -> dict[str, Column]:
     return {"hit": F.max(F.col("is_hit").cast("int")), "redirected": F.max(F.col("was_redirected").cast("int")), "promoted": F.max("promotions_shown")}
 
 
-_ZERO = (F.col("hit") == 0) & (F.col("redirected") == 0) & (F.col("promoted") == 0)
+def _zero() -> Column:
+    return (F.col("hit") == 0) & (F.col("redirected") == 0) & (F.col("promoted") == 0)
 
 
 def _share(df: DataFrame, count: str = "count") -> DataFrame:
@@ -78,7 +81,7 @@ def word_cloud(log: DataFrame, stop: list[str], n: int = 50, queries: int = 500)
 
 
 def zero_result_queries(log: DataFrame, n: int = 30) -> DataFrame:
-    zero = actions(log, "query", **_outcomes()).where(_ZERO)
+    zero = actions(log, "query", **_outcomes()).where(_zero())
     return zero.groupBy("query").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "query").limit(n)
 
 
@@ -230,7 +233,7 @@ def promotion_detail(shown: DataFrame, promotion_id: int) -> dict[str, DataFrame
 
 
 def summary(log: DataFrame) -> DataFrame:
-    each = actions(log, **_outcomes()).agg(F.count("*").alias("searches"), F.count_if(_ZERO).alias("zero_results"))
+    each = actions(log, **_outcomes()).agg(F.count("*").alias("searches"), F.count_if(_zero()).alias("zero_results"))
     visitors = log.agg(F.countDistinct("ip").alias("visitors"))
     out = each.join(visitors)  # one row each
     return out.withColumn("zero_rate", F.when(F.col("searches") > 0, F.round(F.col("zero_results") * 100.0 / F.col("searches"), 1)).otherwise(0.0))
@@ -239,7 +242,7 @@ def summary(log: DataFrame) -> DataFrame:
 def daily_chart(log: DataFrame, start: str, end: str, zone: str | None = None) -> DataFrame:
     """One row for each day of [start, end), zero-filled."""
     each = actions(in_range(log, start, end), local_date(zone).alias("date"), **_outcomes())
-    counted = each.groupBy("date").agg(F.count("*").alias("total"), F.count_if(~_ZERO).alias("with_results"), F.count_if(_ZERO).alias("zero_results"))
+    counted = each.groupBy("date").agg(F.count("*").alias("total"), F.count_if(~_zero()).alias("with_results"), F.count_if(_zero()).alias("zero_results"))
     days = log.sparkSession.range(1).select(F.explode(F.expr(f"sequence(date '{start[:10]}', date '{end[:10]}' - interval 1 day, interval 1 day)")).alias("date"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return days.join(counted, "date", "left").select("date", zero("total"), zero("with_results"), zero("zero_results"))

@@ -97,7 +97,12 @@ def without_stop_words(of: Column, words: list[str]) -> Column:
 def ngrams(term: Column, sizes: tuple[int, ...] = NGRAM_SIZES) -> Column:
     """distinct character n-grams of the padded term, none of them blank."""
     padded = F.concat(F.lit(" "), term, F.lit(" "))
-    grams = [F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - F.lit(n - 1)), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
+
+    def of(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(padded) - F.lit(n - 1)), lambda i: F.substring(padded, i, F.lit(n)))
+        return F.when(F.length(padded) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    grams = [of(n) for n in sizes]
     return F.array_distinct(F.filter(F.concat(*grams), lambda g: F.trim(g) != ""))
 
 

@@ -102,7 +102,7 @@ def zero_result_clusters(log: DataFrame, n: int = 10) -> DataFrame:
         found.sort(key=lambda c: (-c[1], c[0]))
         return pd.DataFrame(found[:n], columns=["representative", "count", "queries"])
 
-    return zero_result_queries(log, 3 * n).groupBy(F.lit(1)).applyInPandas(lambda rows: cluster(rows), "representative string, count long, queries long")
+    return zero_result_queries(log, 3 * n).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(lambda rows: cluster(rows), "representative string, count long, queries long")
 
 
 def _byte_edits(a: str, b: str) -> int:

@@ -161,20 +161,20 @@ def train(docs: DataFrame) -> Model:
     return Model(languages, np.log(n / n.sum(axis=0)))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``proportions``."""
+def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``proportions``, their names after ``prefix``."""
     from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
-    names = docs.columns
+    names, added = docs.columns, [f"{prefix}{x}" for x in ("lang_pred", "score", "proportions")]
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value).open()
         for b in batches:
             found = [m.mixture(t) for t in b.column(names.index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64()))], [*names, "lang_pred", "score", "proportions"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64()))], [*names, *added])
 
-    more = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("proportions", MapType(StringType(), DoubleType()))]
+    more = [StructField(x, t) for x, t in zip(added, (StringType(), DoubleType(), MapType(StringType(), DoubleType())), strict=True)]
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
 
 
@@ -189,4 +189,5 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without documents of no language and of none that makes up half of it."""
     model = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
-    return predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= REJECT_BELOW)).select(docs.columns)
+    found = predict(docs, model, "_tesserine_")
+    return found.where((F.col("_tesserine_lang_pred") != UNKNOWN) & (F.col("_tesserine_score") >= REJECT_BELOW)).select(docs.columns)

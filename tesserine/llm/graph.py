@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tesserine.llm.common import cut
 
+#: Members of an open bucket that are verified pair by pair.
+SMALL = 48
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``id, component`` for every node of ``edges(a, b)``; component is the smallest id that links reach.
@@ -19,10 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
     itself in every round. A null end drops its edge. No edges: no rows.
     """
     edge = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    open_edges = cut(edges.where("a <> b").select(*edge("a", "b")).distinct())
+    open_edges = edges.where("a <> b").select(*edge("a", "b")).distinct()
     out = None
-    while not open_edges.isEmpty():
-        both = open_edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(open_edges.select("b", "a"))
+    while out is None or not open_edges.isEmpty():
+        both = open_edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.*")
         hooked = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p"))
         up = hooked.select(F.col("x").alias("p"), F.col("p").alias("q"))
         step = cut(hooked.join(up, "p").select("x", F.col("q").alias("p")))
@@ -33,8 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             later = step.select(F.col("x").alias("component"), F.col("p").alias("q"))
             out = out.join(later, "component", "left").select("id", F.coalesce("q", "component").alias("component"))
-    if out is None:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).where("false")
     return out
 
 
@@ -43,26 +44,36 @@ def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) ->
 
     ``members(bucket, id)``, materialised, holds an id once a bucket and no bucket of one id.
     ``verify`` takes distinct pairs ``(a, b)``, a < b, and returns those that are links. In
-    each round every bucket elects a few hubs, and only pairs of a hub with a member of another
-    component are verified; then the hubs leave their buckets, and buckets whose members are all
-    of one component close. One hub first, thirty-two times as many in each further round. So a
-    bucket of copies costs a row for each member, no pair of a bucket is left undecided unless
-    its ends are connected already, and the election is a partially aggregated minimum.
+    every round a bucket elects hubs (one at first), and only pairs of a hub with a member of
+    another component are verified. At first each member is verified with the smallest of its
+    hubs alone, which connects most of a large group with a row a member; then with all its hubs, which
+    thereupon leave. Buckets whose members are all of one component close. Of an open bucket of at
+    most ``SMALL`` members all pairs between components are verified next, which settles it; larger ones elect hubs again,
+    thirty-two times as many in each further round. So no pair of a bucket is left undecided
+    unless its ends are connected already.
     """
     members = members.select("bucket", "id", F.col("id").alias("label"))
-    links, found, slots = None, None, 1
+    links, found, slots, turn = None, None, 1, 0
     while found is None or not members.isEmpty():
         slot = F.pmod(F.xxhash64("id", F.lit(slots)), F.lit(slots)).alias("slot")
-        elected = members.groupBy("bucket", slot).agg(F.min("id").alias("hub")).select("bucket", "hub")
-        hubs = elected if found is None else elected.join(found.select(F.col("id").alias("hub"), "component"), "hub", "left").select("bucket", "hub", F.coalesce("component", "hub").alias("hub_label"))
-        hubs = hubs.withColumn("hub_label", F.col("hub")) if found is None else hubs
-        pairs = members.join(hubs, "bucket").where("label <> hub_label").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        new = cut(verify(pairs))
+        elected = members.groupBy("bucket", slot).agg(F.min("id").alias("hub"), F.min_by("label", "id").alias("hub_label")).select("bucket", "hub", "hub_label")
+        if turn > 1:
+            size = members.groupBy("bucket").count().where(F.col("count") <= SMALL).select("bucket")
+            small = members.join(size, "bucket").select("bucket", F.col("id").alias("hub"), F.col("label").alias("hub_label"))
+            elected = elected.join(size, "bucket", "left_anti").unionByName(small)
+        pairs = members.join(elected, "bucket").where("label <> hub_label")
+        if turn == 0:
+            pairs = pairs.groupBy("id").agg(F.min("hub").alias("hub"))
+        new = cut(verify(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()))
         links = new if links is None else links.union(new)
-        found = cut(components(links))
-        left = members.select("bucket", "id").join(elected.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
+        if found is None or not new.isEmpty():
+            found = cut(components(links))
+        left = members.select("bucket", "id")
+        if turn:
+            left = left.join(elected.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
+            slots *= 32
         left = left.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
         mixed = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
         members = cut(left.join(mixed, "bucket"))
-        slots *= 32
+        turn += 1
     return found

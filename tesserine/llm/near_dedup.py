@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tesserine.llm.common import cut, mix64, shingle_hashes, table, word_hashes
 from tesserine.llm.graph import star_links
 
-PERMUTATIONS = 64
-BAND_ROWS = 4
+PERMUTATIONS = 96
+BAND_ROWS = 6
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
 

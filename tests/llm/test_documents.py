@@ -94,7 +94,7 @@ def test_min_max_estimates_similarity():
 
 
 def char_shingles(line):
-    p = re.compile(r"(?s)(?=(.{%d}))\S+\s*" % line_dedup.SHINGLE)
+    p = re.compile(r"(?s)(?=(.{%d}))(?:\S+|^\s+)\s*" % line_dedup.SHINGLE)
     return set(p.findall(line)) or {line}
 
 

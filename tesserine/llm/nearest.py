@@ -42,7 +42,7 @@ SEED = 7
 
 def directions(count: int) -> int:
     """Hash directions of a table: buckets grow with the rows."""
-    return max(2, min(10, round(math.log2(max(count, 1) / 512 + 1))))
+    return max(2, min(10, round(math.log2(max(count, 1) / 2048 + 1))))
 
 
 class Index:
@@ -145,19 +145,25 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         norms = (x[c] ** 2).sum(axis=1)
         for part in np.array_split(q, max(1, len(q) // 256)):
             rough = norms[None] - 2 * (x[part] @ x[c].T)
-            n = min(4 * K, len(c))
+            n = min(K + 6, len(c))
             near = np.argpartition(rough, n - 1, axis=1)[:, :n] if n < len(c) else np.tile(np.arange(n), (len(part), 1))
-            if n < len(c):  # copies beyond the cut may be ties: take the smaller ids among all at least as near
-                kth = np.partition(rough, K - 1, axis=1)[:, K - 1] + 1e-9
+            # Where more candidates than that are as near as the last, ties are settled among all of them.
+            crowd = np.zeros(len(part), bool)
+            if n < len(c):
+                kth = np.partition(rough, K, axis=1)[:, K] + 1e-9 * (1 + norms.max())
                 crowd = (rough <= kth[:, None]).sum(axis=1) > n
-            else:
-                crowd = np.zeros(len(part), bool)
-            for r, i in enumerate(part):
-                these = c[near[r]] if not crowd[r] else c[np.flatnonzero(rough[r] <= kth[r])]
+            d = np.sqrt(((x[c[near]] - x[part][:, None, :]) ** 2).sum(axis=-1))
+            q_ids, v_ids = np.repeat(ids[part], n), ids[c[near]].ravel()
+            keep = (q_ids != v_ids) & ~np.repeat(crowd, n)
+            kept.append(_triples(q_ids[keep], v_ids[keep], d.ravel()[keep]))
+            held += len(kept[-1])
+            for r in np.flatnonzero(crowd):
+                i = part[r]
+                these = c[rough[r] <= kth[r]]
                 these = these[ids[these] != ids[i]]
-                d = np.sqrt(((x[these] - x[i]) ** 2).sum(axis=1))
-                order = np.lexsort((ids[these], d))[: K + 1]
-                kept.append(_triples(ids[i], ids[these[order]], d[order]))
+                far = np.sqrt(((x[these] - x[i]) ** 2).sum(axis=1))
+                order = np.lexsort((ids[these], far))[:K]
+                kept.append(_triples(np.full(len(order), ids[i]), ids[these[order]], far[order]))
                 held += len(order)
         if held > 400_000:
             kept = [_best(np.concatenate(kept))]
@@ -172,7 +178,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _TRIPLE = np.dtype([("q", "<i8"), ("v", "<i8"), ("d", "<f8")])
 
 
-def _triples(q: int, v: np.ndarray, d: np.ndarray) -> np.ndarray:
+def _triples(q: np.ndarray, v: np.ndarray, d: np.ndarray) -> np.ndarray:
     out = np.empty(len(v), _TRIPLE)
     out["q"], out["v"], out["d"] = q, v, d
     return out

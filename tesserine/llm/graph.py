@@ -16,10 +16,10 @@ SMALL = 48
 def components(edges: DataFrame) -> DataFrame:
     """``id, component`` for every node of ``edges(a, b)``; component is the smallest id that links reach.
 
-    Each round hooks every node to its smallest neighbour, jumps one pointer further
-    and contracts the edges, so that only roots with open edges remain; rounds grow with
-    the logarithm of a component's diameter. The smallest id of a component maps to
-    itself in every round. A null end drops its edge. No edges: no rows.
+    Each round hooks every node to its smallest neighbour, jumps pointers until every node of
+    a tree points to its root (as many times as the logarithm of the depth), and contracts the
+    edges to roots. A root that still has edges hooks or is hooked in the next round, so their
+    number at least halves. A null end drops its edge. No edges: no rows.
     """
     edge = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     open_edges = edges.where("a <> b").select(*edge("a", "b")).distinct()
@@ -27,8 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
     while out is None or not open_edges.isEmpty():
         both = open_edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.*")
         hooked = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p"))
-        up = hooked.select(F.col("x").alias("p"), F.col("p").alias("q"))
-        step = cut(hooked.join(up, "p").select("x", F.col("q").alias("p")))
+        step = cut(_jump(hooked))
+        while not step.where("p <> q").isEmpty():
+            step = cut(_jump(step.select("x", F.col("q").alias("p"))))
+        step = step.select("x", "p")
         ends = [step.select(F.col("x").alias(c), F.col("p").alias(f"p{c}")) for c in "ab"]
         open_edges = cut(open_edges.join(ends[0], "a").join(ends[1], "b").where("pa <> pb").select(*edge("pa", "pb")).distinct())
         if out is None:
@@ -39,6 +41,11 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _jump(parents: DataFrame) -> DataFrame:
+    """``x, p`` with q, the parent of p."""
+    return parents.join(parents.select(F.col("x").alias("p"), F.col("p").alias("q")), "p").select("x", "p", "q")
+
+
 def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components ``id, component`` of the ids that share a bucket and that ``verify`` links.
 

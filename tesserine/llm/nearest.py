@@ -42,7 +42,7 @@ SEED = 7
 
 def directions(count: int) -> int:
     """Hash directions of a table: buckets grow with the rows."""
-    return max(2, min(10, round(math.log2(max(count, 1) / 2048 + 1))))
+    return max(2, min(10, round(math.log2(max(count, 1) / 4096 + 1))))
 
 
 class Index:

@@ -4,7 +4,8 @@ Every vector is filed in ``TABLES`` tables under ``floor((a.v + b) / w)`` for so
 directions a. For a query the success probability of a bucket is the product, over
 the directions, of the mass that a Gaussian of the expected neighbour distance around the
 query's projection puts into the bucket's slot; buckets are visited in falling order of it
-until the tables together are expected to hold ``TARGET`` of the neighbours. Candidates of all
+until the tables together are expected to hold ``TARGET`` of the neighbours. Directions are taken away until the
+buckets that can be listed reach that for nearly every sampled query; a query for which they do not is searched against all rows. Candidates of all
 tables are merged and ranked by exact double-precision distance.
 
 The expected distance is fitted on a documented, bounded sample: ``SAMPLE_QUERIES`` queries
@@ -36,6 +37,10 @@ TABLES = 2
 #: Expected share of neighbours in the visited buckets.
 TARGET = 0.985
 SAMPLE_QUERIES, SAMPLE_ROWS = 256, 8192
+#: Slot tuples of a table that are listed for a query.
+TUPLES = 20_000
+#: Share of sampled queries that may miss the target with the directions chosen.
+MISSED = 0.01
 BLOCK = 4096
 SEED = 7
 
@@ -68,7 +73,7 @@ class Index:
         return out
 
     def probes(self, x: np.ndarray) -> list[np.ndarray]:
-        """For one query and each table, bucket numbers in falling order of estimated success, until the target is met."""
+        """For one query and each table, bucket numbers in falling order of estimated success, until the target is met; none where it can't be met."""
         at = x @ self.a.T + self.b
         out = []
         share = 1 - (1 - TARGET) ** (1 / TABLES)
@@ -83,11 +88,14 @@ class Index:
                 s, p = s[p > 1e-3], p[p > 1e-3]
                 mass = (mass[:, None] * p[None]).ravel()
                 slots = np.concatenate([np.repeat(slots, len(s), axis=0), np.tile(s, len(slots))[:, None]], axis=1)
-                if len(mass) > 20_000:  # the tail can't come before what is kept
-                    keep = np.argsort(-mass)[:20_000]
+                if len(mass) > TUPLES:  # the tail can't come before what is kept
+                    keep = np.argsort(-mass)[:TUPLES]
                     mass, slots = mass[keep], slots[keep]
             order = np.argsort(-mass, kind="stable")
-            take = int(np.searchsorted(np.cumsum(mass[order]), share)) + 1
+            reached = np.cumsum(mass[order])
+            if reached[-1] < share:
+                return [np.empty(0, np.int64)] * TABLES
+            take = int(np.searchsorted(reached, share)) + 1
             out.append(np.unique(self.fold(slots[order[:take]])))
         return out
 
@@ -122,6 +130,8 @@ def _filed(indexes: dict[int, Index], probe: bool):
                         found = [(i, t, n) for i, v in zip(part, x, strict=True) for t, bs in enumerate(index.probes(v)) for n in bs.tolist()]
                     else:
                         found = [(i, t, n) for i, row in zip(part, index.buckets(x).tolist(), strict=True) for t, n in enumerate(row)]
+                    if not found:  # all of these are searched against all rows
+                        continue
                     rows, tables, numbers = (np.array(c) for c in zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), width, np.int32)), pa.array(tables.astype(np.int32)), pa.array(numbers.astype(np.int64)), pa.array(ids[rows].astype(np.int64)), pa.array([raws[i] for i in rows], pa.binary())], ["width", "at", "bucket", "id", "vector"])
 
@@ -200,6 +210,12 @@ def _batch(t: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(t["q"].copy()), pa.array(t["v"].copy()), pa.array(t["d"].copy())], ["query_id", "vec_id", "score"])
 
 
+def _misses(index: Index, q: np.ndarray) -> bool:
+    """Whether more than ``MISSED`` of some queries can't reach the target."""
+    some = q[:64]
+    return sum(not len(index.probes(x)[0]) for x in some) > MISSED * len(some)
+
+
 def _fit(valid: DataFrame, counts: dict[int, int]) -> dict[int, Index]:
     """One index for each vector length, fitted on a sample whose size is bounded by the parameters."""
     out = {}
@@ -213,7 +229,11 @@ def _fit(valid: DataFrame, counts: dict[int, int]) -> dict[int, Index]:
         # The k-th neighbour among all rows is nearer than the k-th in the sample: take the k-th there, an upper bound.
         distance = float(np.quantile(far[:, min(K, far.shape[1] - 1)], 0.75)) if len(x) else 1.0
         spread = float(np.median(far)) or 1.0
-        out[width] = Index(width, directions(count), 1.25 * max(spread / math.sqrt(2), 1e-12), distance)
+        slot = 1.25 * max(spread / math.sqrt(2), 1e-12)
+        functions = directions(count)
+        while functions > 1 and _misses(Index(width, functions, slot, distance), q):
+            functions -= 1
+        out[width] = Index(width, functions, slot, distance)
     return out
 
 
@@ -239,7 +259,7 @@ def nearest(vectors: DataFrame, is_query: str) -> DataFrame:
     base = filed.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     asked = probed.join(sizes, key).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     found = cut(_merge(search(base, asked)))
-    # Too few candidates: against all rows of that length, in blocks.
+    # Too few candidates, or a target that the buckets can't reach: against all rows of that length, in blocks.
     short = queries.join(found.groupBy("query_id").count().where(f"count >= {K}").select(F.col("query_id").alias("id")), "id", "left_anti")
     short = cut(short)
     if not short.isEmpty():

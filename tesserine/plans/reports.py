@@ -70,6 +70,7 @@ _add("popular_queries", _on_log(A.popular_queries), "SELECT normalized_query, si
 _add("warm_prefixes", _on_log(lambda log: A.warm_prefixes(A.popular_queries(log))), "SELECT DISTINCT substr(query, 1, n) AS prefix FROM (SELECT min(query) AS query FROM log GROUP BY normalized_query, site_id ORDER BY count(*) DESC, normalized_query, site_id LIMIT 50), (VALUES (2), (3), (4), (5)) v(n) WHERE length(substr(query, 1, n)) >= 2")
 _add("index_usage", _on_log(lambda log: A.usage_counts(log, "index_handle")), "SELECT index_handle, count(*) AS count FROM log GROUP BY index_handle")
 _add("export_rows", _on_log(lambda log: A.export(log.select("id", "date_created", "query", "index_handle", "results_count", "source"), 5000)), "SELECT id, date_created, query, index_handle, results_count, source, (SELECT count(*) FROM log) > 5000 AS truncated FROM log ORDER BY date_created DESC, id DESC LIMIT 5000")
+_add("export_log", _on_log(A.export), f"SELECT *, (SELECT count(*) FROM log) > {A.CAP} AS truncated FROM log ORDER BY date_created DESC, id DESC LIMIT {A.CAP}")
 _add("retention", _on_log(lambda log: A.without(log, before=WEEK).select("id", "query")), f"SELECT id, query FROM log WHERE date_created >= '{WEEK}'")
 
 _rules = lambda f: lambda spark, sf_dir: f(rule_log(search_log(spark, sf_dir)))

@@ -102,6 +102,8 @@ _search("type_filter", f"{A} OR {B}", _top(_sum(f"'{A}', '{B}'")), types=["Entry
 _BATCH = "df BETWEEN 20 AND 40"
 _add("batch_bm25", lambda s, d: R.batch_bm25(index(s, d), index(s, d).term_stats.where(_BATCH).select(F.col("term").alias("query_id"), "site_id", "term")).select("query_id", "document_key", "score", "rank"),
      f"SELECT query_id, document_key, score, rank::INT AS rank FROM (SELECT term AS query_id, document_key, round(base * {_W}, 6) AS score, row_number() OVER (PARTITION BY term ORDER BY round(base * {_W}, 6) DESC, document_key) AS rank FROM scored WHERE term IN (SELECT term FROM term_stats WHERE {_BATCH})) WHERE rank <= 10", INDEX_SQL)
+_add("batch_bm25_all", lambda s, d: R.batch_bm25(index(s, d), index(s, d).term_stats.select(F.col("term").alias("query_id"), "site_id", "term")).select("query_id", "document_key", "score", "rank"),
+     f"SELECT query_id, document_key, score, rank::INT AS rank FROM (SELECT term AS query_id, document_key, round(base * {_W}, 6) AS score, row_number() OVER (PARTITION BY term ORDER BY round(base * {_W}, 6) DESC, document_key) AS rank FROM scored) WHERE rank <= 10", INDEX_SQL)
 _ASK = ("tiom", "oaun", "therr", "ionn", "enleau")
 
 
@@ -177,6 +179,7 @@ def changes(s: SparkSession, d: str) -> DataFrame:
 _add("coalesce_last_op", lambda s, d: sync.coalesce_changes(changes(s, d)), "SELECT 'documents' AS index_handle, doc_id AS element_id, 1 AS site_id, CASE WHEN doc_id % 10 = 0 THEN 'delete' ELSE 'upsert' END AS op, doc_id * 10 + CASE WHEN doc_id % 10 = 0 THEN 2 WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS seq, doc_id AS queued_at, 1 + (doc_id % 7 = 0)::BIGINT + (doc_id % 10 = 0)::BIGINT AS changes FROM documents")
 _add("apply_upserts_deletes", lambda s, d: sync.apply_changes(documents(s, d).where("element_id % 3 = 0"), sync.decide(sync.coalesce_changes(changes(s, d).where("element_id % 7 = 0 or element_id % 10 = 0")), documents(s, d).where("element_id % 5 <> 1")), documents(s, d)).select("document_key"),
      "SELECT document_key FROM docs WHERE CASE WHEN element_id % 10 = 0 THEN false WHEN element_id % 7 = 0 THEN element_id % 5 <> 1 ELSE element_id % 3 = 0 END", DOCS_SQL)
+_add("apply_all_changes", lambda s, d: sync.apply_changes(documents(s, d), sync.decide(sync.coalesce_changes(changes(s, d)), documents(s, d)), documents(s, d)).select("document_key"), "SELECT document_key FROM docs WHERE element_id % 10 <> 0", DOCS_SQL)
 _add("retry_backoff", lambda s, d: s.range(1, 10).select(F.col("id").cast("int").alias("attempt_count"), sync.delay_seconds(F.col("id")).alias("delay"), F.when(F.col("id") >= sync.MAX_ATTEMPTS, "abandoned").otherwise("failed").alias("status")), "SELECT a::INT AS attempt_count, least(300, 5 * 2 ** (a - 1))::BIGINT AS delay, CASE WHEN a >= 5 THEN 'abandoned' ELSE 'failed' END AS status FROM range(1, 10) r(a)")
 _add("rate_limit_window", lambda s, d: sync.rate_limited(read(s, d, "events").select((F.col("user_id") % 4).alias("key"), "ts"), 1).select("key", F.col("minute").cast("string").alias("minute"), "requests"), "SELECT user_id % 4 AS key, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS minute, count(*) AS requests FROM events GROUP BY 1, 2 HAVING count(*) > 1")
 _add("buffer_stats", lambda s, d: sync.buffer_stats(changes(s, d).withColumn("status", F.when(F.col("op") == "delete", "failed").otherwise("pending"))), "SELECT CASE WHEN op = 'delete' THEN 'failed' ELSE 'pending' END AS status, count(*) AS count, min(q) AS oldest FROM (SELECT 'upsert' AS op, doc_id AS q FROM documents UNION ALL SELECT 'upsert', doc_id + 1 FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT 'delete', doc_id + 2 FROM documents WHERE doc_id % 10 = 0) GROUP BY 1")

@@ -2,7 +2,7 @@
 
 import duckdb
 
-from tesserine.plans import reports
+from tesserine.plans import reports, searches
 
 DATA = "/root/testdata/sf0.001"
 
@@ -23,3 +23,15 @@ def test_export_has_all_columns(spark):
     assert len(got) == len(want) > 0 and len(got.columns) > 20
     for c in ("id", "query", "source", "truncated", "browser", "is_hit"):
         assert got[c].tolist() == want[c].tolist()
+
+
+def test_batch_asks_all_terms(spark):
+    got, want = both(spark, searches.QUERIES, searches.SQL, "batch_bm25_all")
+    assert len(got) == len(want) > 0
+    assert got["query_id"].tolist() == want["query_id"].tolist()
+    assert (got["score"] - want["score"]).abs().max() < 1e-5
+
+
+def test_all_changes_are_applied(spark):
+    got, want = both(spark, searches.QUERIES, searches.SQL, "apply_all_changes")
+    assert got["document_key"].tolist() == want["document_key"].tolist() and len(got) > 0

@@ -1,16 +1,23 @@
-"""Distributed union-find: connected components and link verification by stars, all in DataFrame operations."""
+"""Candidate buckets, link verification in blocks and distributed union-find."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.common import cut
 
-#: Members of an open bucket that are verified pair by pair.
-SMALL = 48
+#: Hubs and members that one comparison task holds and sees.
+HUBS, MEMBERS = 256, 1024
+#: Shingle matches that are counted at once.
+_HITS = 1 << 20
+
+#: Of an Arrow column: the values of all rows' sets one after another, and where each row's begin and end.
+Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,11 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
         step = step.select("x", "p")
         ends = [step.select(F.col("x").alias(c), F.col("p").alias(f"p{c}")) for c in "ab"]
         open_edges = cut(open_edges.join(ends[0], "a").join(ends[1], "b").where("pa <> pb").select(*edge("pa", "pb")).distinct())
-        if out is None:
-            out = step.select(F.col("x").alias("id"), F.col("p").alias("component"))
-        else:
-            later = step.select(F.col("x").alias("component"), F.col("p").alias("q"))
-            out = out.join(later, "component", "left").select("id", F.coalesce("q", "component").alias("component"))
+        out = step.select(F.col("x").alias("id"), F.col("p").alias("component")) if out is None else _relabelled(out, step.select(F.col("x").alias("id"), F.col("p").alias("component")))
     return out
 
 
@@ -46,41 +49,147 @@ def _jump(parents: DataFrame) -> DataFrame:
     return parents.join(parents.select(F.col("x").alias("p"), F.col("p").alias("q")), "p").select("x", "p", "q")
 
 
-def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components ``id, component`` of the ids that share a bucket and that ``verify`` links.
+def _relabelled(found: DataFrame, later: DataFrame) -> DataFrame:
+    """``found(id, component)`` with its components taken on to those of ``later``."""
+    later = later.select(F.col("id").alias("component"), F.col("component").alias("q"))
+    return found.join(later, "component", "left").select("id", F.coalesce("q", "component").alias("component"))
+
+
+def crowded(members: DataFrame) -> DataFrame:
+    """``bucket, id, hub`` of ``members(bucket, id)`` whose bucket may hold others; hub is the smallest id known of it.
+
+    Rows are dealt out by ranges of (bucket, id), so that a bucket of any size is shared by as many tasks as
+    its rows need; one pass then looks at neighbours alone. Each task keeps its first and last
+    row too, whose neighbours may be elsewhere: a bucket that lies in several tasks has a hub in each.
+    """
+    ordered = members.select("bucket", "id").repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id")
+    return ordered.mapInArrow(_neighbours, "bucket long, id long, hub long")
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # The last row so far waits for the next one: its bucket, id and hub, and whether it is kept in any case.
+    bucket, ids, hub, kept = np.empty(0, np.int64), np.empty(0, np.int64), None, True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        bucket, ids = (np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate((bucket, ids)))
+        same = np.concatenate([[kept], bucket[1:] == bucket[:-1]])
+        start = np.maximum.accumulate(np.where(np.concatenate([[True], ~same[1:]]), np.arange(len(ids)), 0))
+        hubs = ids[start]
+        if hub is not None:
+            hubs[start == 0] = hub
+        rows = np.flatnonzero(same[:-1] | same[1:])
+        if len(rows):
+            yield _rows(bucket[rows], ids[rows], hubs[rows])
+        hub, kept, bucket, ids = hubs[-1], same[-1], bucket[-1:], ids[-1:]
+    if hub is not None:
+        yield _rows(bucket, ids, np.array([hub]))
+
+
+def _rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["bucket", "id", "hub"])
+
+
+def bucket_components(members: DataFrame, contents: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """Components ``id, component`` of ids that share a bucket and whose sets have Jaccard similarity of ``percent`` or more.
 
-    ``members(bucket, id)``, materialised, holds an id once a bucket and no bucket of one id.
-    ``verify`` takes distinct pairs ``(a, b)``, a < b, and returns those that are links. In
-    every round a bucket elects hubs (one at first), and only pairs of a hub with a member of
-    another component are verified. At first each member is verified with the smallest of its
-    hubs alone, which connects most of a large group with a row a member; then with all its hubs, which
-    thereupon leave. Buckets whose members are all of one component close. Of an open bucket of at
-    most ``SMALL`` members all pairs between components are verified next, which settles it; larger ones elect hubs again,
-    thirty-two times as many in each further round. So no pair of a bucket is left undecided
-    unless its ends are connected already.
+    ``members(bucket, id, hub)`` is what ``crowded`` returns, materialised; ``contents(id, data)`` has what ``sets``
+    reads. First every id is compared with the hubs of its buckets, which connects most of a large group at a row a
+    member. Then, in each bucket that still holds several components, all rows outside the largest are
+    compared with all rows, ``HUBS`` x ``MEMBERS`` in a task: sets are sent once to a task, pairs are never rows, and a task returns
+    a spanning forest of the links it finds. So no pair of a bucket is left undecided unless its ends are connected already.
     """
-    members = members.select("bucket", "id", F.col("id").alias("label"))
-    links, found, slots, turn = None, None, 1, 0
-    while found is None or not members.isEmpty():
-        slot = F.pmod(F.xxhash64("id", F.lit(slots)), F.lit(slots)).alias("slot")
-        elected = members.groupBy("bucket", slot).agg(F.min("id").alias("hub"), F.min_by("label", "id").alias("hub_label")).select("bucket", "hub", "hub_label")
-        if turn > 1:
-            size = members.groupBy("bucket").count().where(F.col("count") <= SMALL).select("bucket")
-            small = members.join(size, "bucket").select("bucket", F.col("id").alias("hub"), F.col("label").alias("hub_label"))
-            elected = elected.join(size, "bucket", "left_anti").unionByName(small)
-        pairs = members.join(elected, "bucket").where("label <> hub_label")
-        if turn == 0:
-            pairs = pairs.groupBy("id").agg(F.min("hub").alias("hub"))
-        new = cut(verify(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()))
-        links = new if links is None else links.union(new)
-        if found is None or not new.isEmpty():
-            found = cut(components(links))
-        left = members.select("bucket", "id")
-        if turn:
-            left = left.join(elected.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
-            slots *= 32
-        left = left.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
-        mixed = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        members = cut(left.join(mixed, "bucket"))
-        turn += 1
-    return found
+    stars = members.where("id <> hub").select("hub", "id").distinct()
+    share = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (4 * MEMBERS)))
+    stars = stars.join(stars.groupBy("hub").agg(F.count("*").alias("n")), "hub").select(F.xxhash64("hub", share).alias("task"), "hub", "id")
+    hubs = stars.select("task", F.lit(0).alias("role"), F.col("hub").alias("id")).distinct()
+    asked = hubs.unionByName(stars.select("task", F.lit(1).alias("role"), "id")).withColumn("label", F.col("id"))
+    links = cut(_compared(asked, contents, sets, percent))
+    found = cut(components(links))
+
+    own = members.select("bucket", "id").distinct().join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+    own = cut(own)
+    sizes = own.groupBy("bucket", "label").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("label", F.struct("count", "label")).alias("main"))
+    mixed = own.join(sizes.where("n > most"), "bucket")
+    blocks = [F.ceil((F.col("n") - F.col("most")) / HUBS), F.ceil(F.col("n") / MEMBERS)]
+    mixed = mixed.withColumns({"hub_blocks": blocks[0].cast("int"), "member_blocks": blocks[1].cast("int"), "h": F.xxhash64("id")})
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    hubs = mixed.where("label <> main").select("bucket", F.pmod("h", "hub_blocks").cast("int").alias("hb"), each("member_blocks").alias("mb"), F.lit(0).alias("role"), "id", "label")
+    rest = mixed.select("bucket", each("hub_blocks").alias("hb"), F.pmod("h", "member_blocks").cast("int").alias("mb"), F.lit(1).alias("role"), "id", "label")
+    asked = hubs.unionByName(rest).select(F.xxhash64("bucket", "hb", "mb").alias("task"), "role", "id", "label")
+    more = cut(_compared(asked, contents, sets, percent))
+    later = cut(components(more))
+    return _relabelled(found, later).unionByName(later.join(found, "id", "left_anti"))
+
+
+def _compared(asked: DataFrame, contents: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """Links ``a, b`` between labels of ``asked(task, role, id, label)``: of role 1 with role 0 in each task."""
+    given = asked.join(contents, "id").select("task", "role", "label", "data")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, hubs = None, None
+        for b in batches:
+            tasks, roles, labels = (b.column(i).to_numpy() for i in range(3))
+            edges = np.flatnonzero(np.concatenate([[True], (tasks[1:] != tasks[:-1]) | (roles[1:] != roles[:-1])])) if len(tasks) else []
+            for at, end in zip(edges, [*edges[1:], len(tasks)], strict=True):
+                if tasks[at] != task:
+                    task, hubs = tasks[at], _Hubs(percent)
+                values, offsets = sets(b.column(3).slice(at, end - at))
+                if roles[at] == 0:
+                    hubs.add(values, offsets, labels[at:end])
+                elif hubs.labels:
+                    a, c = hubs.links(values, offsets, labels[at:end])
+                    if a:
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+    return given.repartition("task").sortWithinPartitions("task", "role").mapInArrow(compare, "a long, b long")
+
+
+class _Hubs:
+    """The hubs of a task: an inverted index of their sets, and which are connected already."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent, self.labels, self.sizes, self.values, self.index = percent, [], [], [], None
+
+    def add(self, values: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> None:
+        self.values.append(values)
+        self.sizes += np.diff(offsets).tolist()
+        self.labels += labels.tolist()
+
+    def _built(self) -> None:
+        flat = np.concatenate(self.values)
+        order = np.argsort(flat, kind="stable")
+        self.size = np.array(self.sizes, np.int64)
+        self.index = flat[order], np.repeat(np.arange(len(self.size)), self.size)[order]
+        self.values = []
+        self.label = np.array(self.labels, np.int64)
+        self.root = np.unique(self.label, return_inverse=True)[1]
+
+    def links(self, values: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> tuple[list[int], list[int]]:
+        """Edges that connect labels of the given sets with those of hubs; none that earlier ones imply among the hubs."""
+        if self.index is None:
+            self._built()
+        flat, owner = self.index
+        low = np.searchsorted(flat, values, "left")
+        count = np.searchsorted(flat, values, "right") - low
+        hits = np.concatenate([[0], np.cumsum(count)])[offsets]
+        a, b, at = [], [], 0
+        while at < len(labels):
+            end = max(at + 1, int(np.searchsorted(hits, hits[at] + _HITS, "right")) - 1)
+            end = min(end, at + max(1, 4 * _HITS // len(self.size)))
+            part = slice(offsets[at], offsets[end])
+            c = count[part]
+            where = np.repeat(low[part] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+            row = np.repeat(np.repeat(np.arange(end - at), np.diff(offsets[at : end + 1])), c)
+            shared = np.bincount(row * len(self.size) + owner[where], minlength=(end - at) * len(self.size)).reshape(end - at, -1)
+            union = np.diff(offsets[at : end + 1])[:, None] + self.size[None] - shared
+            linked = (100 * shared >= self.percent * union) & (shared > 0)
+            for i in np.flatnonzero(linked.any(axis=1)):
+                mine = np.flatnonzero(linked[i])
+                roots, first = np.unique(self.root[mine], return_index=True)
+                a += [int(labels[at + i])] * len(roots)
+                b += self.label[mine[first]].tolist()
+                for r in roots[1:]:
+                    self.root[self.root == r] = roots[0]
+            at = end
+        return a, b

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.llm.common import cut, mix64, shingle_hashes, table, word_hashes
-from tesserine.llm.graph import star_links
+from tesserine.llm.graph import bucket_components, crowded
 
 PERMUTATIONS = 96
 BAND_ROWS = 6
@@ -77,7 +77,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(text).view(np.int64) for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "data"])
+
+
+def _listed(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -86,21 +90,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketched = cut(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, bands array<long>"))
     # Documents with one shingle set are one class, which its smallest doc_id stands for.
     known = sketched.where("doc_id is not null and digest is not null")
-    classes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("id")))
-    standing = known.join(classes.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-    members = standing.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket")).distinct()
-    crowded = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket")
-    members = cut(members.join(crowded, "bucket"))
+    classes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")))
+    members = cut(crowded(classes.select(F.explode("bands").alias("bucket"), "id")))
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        own = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-        both = own.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-        shared = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-        return shared.where(f"100L * common >= {PERCENT}L * (na + nb - common)").select("a", "b").distinct()
-
-    linked = star_links(members, verify)
+    contents = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, data array<long>"))
+    linked = bucket_components(members, contents, _listed, PERCENT)
     found = classes.join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = sketched.join(found, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -18,19 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: At the end of an execution Spark removes its shuffle files.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's checkpoint folder and drop its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set
-    (single-machine tests) a temporary one is used. Files go when Spark's cleaner
-    sees that nothing refers to them any more. Shuffle files behind the cut go the same way,
-    so the collectors of both languages are called: a long operator then never holds
-    the shuffles of more than a step or two on disk.
+    The folder is the session's ``spark.checkpoint.dir``; only a session of one machine (a ``local`` master, as in
+    tests) may go without, and gets a temporary one. Shuffle files go as soon as the cut is made, since
+    nothing reads them again; checkpoint files when Spark's cleaner sees that nothing refers to them, for which
+    the collectors of both languages are called.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tesserine-checkpoint-"))
-    out = df.checkpoint(eager=True)
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tesserine-checkpoint-"))
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # read when a frame is made
+    try:
+        out = df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     del df
     gc.collect()
     context._jvm.System.gc()

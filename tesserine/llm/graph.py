@@ -56,13 +56,13 @@ def _relabelled(found: DataFrame, later: DataFrame) -> DataFrame:
 
 
 def crowded(members: DataFrame) -> DataFrame:
-    """``bucket, id, hub`` of ``members(bucket, id)`` whose bucket may hold others; hub is the smallest id known of it.
+    """``bucket, id, hub`` of ``members(bucket, id)`` whose bucket may hold others; hub is one of its ids.
 
     Rows are dealt out by ranges of (bucket, id), so that a bucket of any size is shared by as many tasks as
     its rows need; one pass then looks at neighbours alone. Each task keeps its first and last
     row too, whose neighbours may be elsewhere: a bucket that lies in several tasks has a hub in each.
     """
-    ordered = members.select("bucket", "id").repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id")
+    ordered = members.select("bucket", "id").repartitionByRange("bucket", "id").sortWithinPartitions("bucket")
     return ordered.mapInArrow(_neighbours, "bucket long, id long, hub long")
 
 
@@ -95,30 +95,34 @@ def bucket_components(members: DataFrame, contents: DataFrame, sets: Sets, perce
 
     ``members(bucket, id, hub)`` is what ``crowded`` returns, materialised; ``contents(id, data)`` has what ``sets``
     reads. First every id is compared with the hubs of its buckets, which connects most of a large group at a row a
-    member. Then, in each bucket that still holds several components, all rows outside the largest are
-    compared with all rows, ``HUBS`` x ``MEMBERS`` in a task: sets are sent once to a task, pairs are never rows, and a task returns
-    a spanning forest of the links it finds. So no pair of a bucket is left undecided unless its ends are connected already.
+    member. Then, in each bucket of three or more that still holds several components, all rows outside the largest are
+    compared with all rows. Sets are sent once to a task, pairs are never rows, and a task returns
+    a spanning forest of the links it finds: large groups are dealt out in blocks of ``HUBS`` x ``MEMBERS``, small ones share
+    a task. So no pair of a bucket is left undecided unless its ends are connected already.
     """
+    groups = F.lit(max(1, members.count() // MEMBERS))
     stars = members.where("id <> hub").select("hub", "id").distinct()
-    share = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (4 * MEMBERS)))
-    stars = stars.join(stars.groupBy("hub").agg(F.count("*").alias("n")), "hub").select(F.xxhash64("hub", share).alias("task"), "hub", "id")
-    hubs = stars.select("task", F.lit(0).alias("role"), F.col("hub").alias("id")).distinct()
-    asked = hubs.unionByName(stars.select("task", F.lit(1).alias("role"), "id")).withColumn("label", F.col("id"))
+    many, share = F.col("n") > HUBS, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / HUBS))
+    task = F.when(many, F.xxhash64("hub", share)).otherwise(F.pmod(F.xxhash64("hub"), groups))
+    stars = stars.join(stars.groupBy("hub").agg(F.count("*").alias("n")), "hub").select(task.alias("task"), "hub", "id")
+    hubs = stars.select("task", F.lit(0).alias("role"), F.col("hub").alias("id"))
+    asked = hubs.union(stars.select("task", F.lit(1), "id")).distinct().withColumn("label", F.col("id"))
     links = cut(_compared(asked, contents, sets, percent))
     found = cut(components(links))
 
-    own = members.select("bucket", "id").distinct().join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
-    own = cut(own)
-    sizes = own.groupBy("bucket", "label").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("label", F.struct("count", "label")).alias("main"))
-    mixed = own.join(sizes.where("n > most"), "bucket")
+    own = members.join(found, "id", "left").select("bucket", "hub", "id", F.coalesce("component", "id").alias("label"))
+    # A bucket whose rows lie in one task has one hub; with two rows it is decided.
+    sizes = own.groupBy("bucket", "label").agg(F.count("*").alias("count"), F.min("hub").alias("low"), F.max("hub").alias("high"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("label", F.struct("count", "label")).alias("main"), F.min("low").alias("low"), F.max("high").alias("high"))
+    mixed = cut(own.join(sizes.where("n > most and (n > 2 or low <> high)"), "bucket").select("bucket", "id", "label", "n", "most", "main"))
     blocks = [F.ceil((F.col("n") - F.col("most")) / HUBS), F.ceil(F.col("n") / MEMBERS)]
     mixed = mixed.withColumns({"hub_blocks": blocks[0].cast("int"), "member_blocks": blocks[1].cast("int"), "h": F.xxhash64("id")})
     each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    hubs = mixed.where("label <> main").select("bucket", F.pmod("h", "hub_blocks").cast("int").alias("hb"), each("member_blocks").alias("mb"), F.lit(0).alias("role"), "id", "label")
-    rest = mixed.select("bucket", each("hub_blocks").alias("hb"), F.pmod("h", "member_blocks").cast("int").alias("mb"), F.lit(1).alias("role"), "id", "label")
-    asked = hubs.unionByName(rest).select(F.xxhash64("bucket", "hb", "mb").alias("task"), "role", "id", "label")
-    more = cut(_compared(asked, contents, sets, percent))
-    later = cut(components(more))
+    hubs = mixed.where("label <> main").select("bucket", "n", F.pmod("h", "hub_blocks").cast("int").alias("hb"), each("member_blocks").alias("mb"), F.lit(0).alias("role"), "id", "label")
+    rest = mixed.select("bucket", "n", each("hub_blocks").alias("hb"), F.pmod("h", "member_blocks").cast("int").alias("mb"), F.lit(1).alias("role"), "id", "label")
+    task = F.when(many, F.xxhash64("bucket", "hb", "mb")).otherwise(F.pmod(F.xxhash64("bucket"), groups))
+    asked = hubs.union(rest).select(task.alias("task"), "role", "id", "label").distinct()
+    later = cut(components(cut(_compared(asked, contents, sets, percent))))
     return _relabelled(found, later).unionByName(later.join(found, "id", "left_anti"))
 
 
@@ -160,7 +164,8 @@ class _Hubs:
         flat = np.concatenate(self.values)
         order = np.argsort(flat, kind="stable")
         self.size = np.array(self.sizes, np.int64)
-        self.index = flat[order], np.repeat(np.arange(len(self.size)), self.size)[order]
+        known, first, count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.index = known, first, count, np.repeat(np.arange(len(self.size)), self.size)[order]
         self.values = []
         self.label = np.array(self.labels, np.int64)
         self.root = np.unique(self.label, return_inverse=True)[1]
@@ -169,9 +174,9 @@ class _Hubs:
         """Edges that connect labels of the given sets with those of hubs; none that earlier ones imply among the hubs."""
         if self.index is None:
             self._built()
-        flat, owner = self.index
-        low = np.searchsorted(flat, values, "left")
-        count = np.searchsorted(flat, values, "right") - low
+        known, first, counts, owner = self.index
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        low, count = first[at], np.where(known[at] == values, counts[at], 0)
         hits = np.concatenate([[0], np.cumsum(count)])[offsets]
         a, b, at = [], [], 0
         while at < len(labels):

@@ -104,7 +104,8 @@ def bucket_components(members: DataFrame, contents: DataFrame, sets: Sets, perce
     stars = members.where("id <> hub").select("hub", "id").distinct()
     many, share = F.col("n") > HUBS, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / HUBS))
     task = F.when(many, F.xxhash64("hub", share)).otherwise(F.pmod(F.xxhash64("hub"), groups))
-    stars = stars.join(stars.groupBy("hub").agg(F.count("*").alias("n")), "hub").select(task.alias("task"), "hub", "id")
+    hot = stars.groupBy("hub").agg(F.count("*").alias("n")).where(many)
+    stars = stars.join(hot, "hub", "left").select(task.alias("task"), "hub", "id")
     hubs = stars.select("task", F.lit(0).alias("role"), F.col("hub").alias("id"))
     asked = hubs.union(stars.select("task", F.lit(1), "id")).distinct().withColumn("label", F.col("id"))
     links = cut(_compared(asked, contents, sets, percent))

@@ -19,11 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 
-#: A run of bytes beyond this length without a split is encoded by tree concatenation.
+#: A run of bytes beyond this length without a split is encoded by tree concatenation, unless an encoder is given another limit.
 LONG = 2048
 LEAF = 512
 #: Chunks remembered by a task; beyond, it forgets them all.
-MEMORY = 600_000
+MEMORY = 300_000
 
 #: White space next to a space, or anything that the fast split does not know: the slow way, still exact.
 _ODD = re.compile(r"[^\S ] | [^\S ]|  |\n\n|[^\S \n]|[\x00-\x08\x0e-\x1f\x7f-\xa0]|^[ \n]|[ \n]$")
@@ -40,7 +40,8 @@ def _byte_letters() -> dict[str, int]:
 class Encoder:
     """One vocabulary file of the tokenizers library: ``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, long: int = LONG):
+        self.long = long
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         import tiktoken
         from tokenizers import Tokenizer
@@ -107,10 +108,10 @@ class Encoder:
         if not text:
             return b""
         plain = self.ranked and "<|" not in text and _PLAIN.match(text, text[0] in " \n")
-        if plain and not self.suffix and len(text) <= LONG:
+        if plain and not self.suffix and len(text.encode()) <= self.long:
             return array("I", self.merges.encode_ordinary(text)).tobytes()
         if not plain:
-            long = self.ranked and max((len(p) for p in self.pieces(text)), default=0) > LONG and not any(s in text for s in self.special)
+            long = self.ranked and max((len(p) for p in self.pieces(text)), default=0) > self.long and not any(s in text for s in self.special)
             if not long or self.lowers and not text.isascii():
                 return self._slow(text)
         if self.lowers:
@@ -119,8 +120,8 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode()
-        if len(raw) > LONG:
-            return np.array(self.tree(piece), "<u4").tobytes()
+        if len(raw) > self.long:
+            return np.array(self.tree(piece, min(LEAF, max(1, self.long // 2))), "<u4").tobytes()
         out = array("I", self.merges.encode_single_piece(raw + b"\xff" if self.suffix else raw)).tobytes()
         if len(self.piece_ids) > MEMORY:
             self.piece_ids.clear()
@@ -201,9 +202,9 @@ class _Known(dict):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder for a path and Python process."""
-    return Encoder(path)
+def encoder(path: str, long: int = LONG) -> Encoder:
+    """One encoder for a path, a limit and a Python process."""
+    return Encoder(path, long)
 
 
 def tokenizer_path(name: str) -> str:

@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.llm.bpe import encoder, tokenizer_path
-from tesserine.llm.common import table
+from tesserine.llm.common import sliced, table
 
 VOCABULARY = "word_bpe_49k.json"
+#: Bytes of an unsplit run beyond which it is encoded by tree concatenation: the longer words of ordinary text are.
+LONG = 16
 
 
 def encode(df: DataFrame, text: str, path: str, out: str = "ids") -> DataFrame:
@@ -27,8 +29,8 @@ def encode(df: DataFrame, text: str, path: str, out: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        e = encoder(path)
-        for b in batches:
+        e = encoder(path, LONG)
+        for b in sliced(batches):
             ids = [np.frombuffer(e.encode(x), "<u4").astype("int32") for x in b.column(names.index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*names, out])
 
@@ -44,8 +46,8 @@ def decode(df: DataFrame, ids: str, path: str, out: str = "decoded") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        e = encoder(path)
-        for b in batches:
+        e = encoder(path, LONG)
+        for b in sliced(batches):
             texts = [e.decode(np.array(x or [], "<u4").tobytes()) for x in b.column(names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, out])
 
@@ -58,8 +60,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
-        for b in batches:
+        e = encoder(path, LONG)
+        for b in sliced(batches):
             count, of_ids, of_text = [], [], []
             for x in b.column(1).to_pylist():
                 ids = e.encode(x)

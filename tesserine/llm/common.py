@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gc
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space of the word contracts: space and 0x09 to 0x0D.
@@ -49,6 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of SplitMix64: a bijection on 64 bits in which every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -122,3 +131,11 @@ def shingle_hashes(words: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
         for i in range(k):
             out = out * _base + words[i : n - k + 1 + i]
         return mix64(out)
+
+
+def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` words in order, at a cost that does not depend on ``k``; there are ``k`` words or more."""
+    n = len(words)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _power_table(n)[:n], dtype=np.uint64)])
+        return mix64((sums[k:] - sums[:-k]) * _inverse_powers(n)[: n - k + 1] + np.uint64(k))

@@ -139,13 +139,14 @@ def _compared(asked: DataFrame, contents: DataFrame, sets: Sets, percent: int) -
             for at, end in zip(edges, [*edges[1:], len(tasks)], strict=True):
                 if tasks[at] != task:
                     task, hubs = tasks[at], _Hubs(percent)
-                values, offsets = sets(b.column(3).slice(at, end - at))
-                if roles[at] == 0:
-                    hubs.add(values, offsets, labels[at:end])
-                elif hubs.labels:
-                    a, c = hubs.links(values, offsets, labels[at:end])
-                    if a:
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+                for own in (slice(i, min(i + 512, end)) for i in range(at, end, 512)):
+                    values, offsets = sets(b.column(3).slice(own.start, own.stop - own.start))
+                    if roles[at] == 0:
+                        hubs.add(values, offsets, labels[own])
+                    elif hubs.labels:
+                        a, c = hubs.links(values, offsets, labels[own])
+                        if a:
+                            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
     return given.repartition("task").sortWithinPartitions("task", "role").mapInArrow(compare, "a long, b long")
 

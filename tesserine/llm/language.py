@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import table
+from tesserine.llm.common import sliced, table
 from tesserine.llm.words import slices, words
 
 GRAMS = 1 << 15
@@ -53,7 +53,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, Counter] = {}
-    for b in batches:
+    for b in sliced(batches):
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             count = seen.setdefault(lang, Counter())
             for part in slices(text):
@@ -170,7 +170,7 @@ def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value).open()
-        for b in batches:
+        for b in sliced(batches):
             found = [m.mixture(t) for t in b.column(names.index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64()))], [*names, *added])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import cut, mix64, shingle_hashes, table, word_hashes
+from tesserine.llm.common import cut, mix64, shingle_hashes, sliced, table, word_hashes
 from tesserine.llm.graph import bucket_components, crowded
 
 PERMUTATIONS = 96
@@ -64,7 +64,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         count, digest, banded = [], [], []
         for text in batch.column(1).to_pylist():
             s = shingle_set(text)
@@ -75,7 +75,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         sets = [shingle_set(text).view(np.int64) for text in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "data"])
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.llm.bpe import encoder, tokenizer_path
-from tesserine.llm.common import cut, table
+from tesserine.llm.common import cut, sliced, table
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 2048
@@ -86,7 +86,7 @@ def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 def _pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, task, row, end = encoder(path), TaskContext.get().partitionId(), 0, END_ID.to_bytes(4, "little")
-        for b in batches:
+        for b in sliced(batches):
             out: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = e.encode(text) + end

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import table
+from tesserine.llm.common import sliced, table
 from tesserine.llm.words import slices, words
 
 SPACE = 1 << 18
@@ -56,7 +56,7 @@ def features(text: str | None) -> set[int]:
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many rows have each feature, in all and of each category."""
     total = None
-    for b in batches:
+    for b in sliced(batches):
         labels = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(1, b.num_columns)]).astype(np.int64)
         total = np.zeros((1 + len(labels), SPACE), np.int64) if total is None else total
         for text, own in zip(b.column(0).to_pylist(), labels.T, strict=True):
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple = CATEGORIES) ->
     chosen = np.sort(np.array([r[0] for r in best.select("feature").collect()], np.int64))
 
     def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [np.flatnonzero(np.isin(chosen, np.fromiter(features(t), np.int64))).tolist() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), *b.columns[2:]], ["doc_id", "f", *names])
 
@@ -200,7 +200,7 @@ def classify(docs: DataFrame, chain: Chain, categories: tuple = CATEGORIES) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Chain(*shared.value).open()
-        for b in batches:
+        for b in sliced(batches):
             p = [c.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([x[i] for x in p], pa.float64()) for i in range(len(names))]], ["doc_id", *[f"p_{x}" for x in names]])
 

@@ -23,37 +23,39 @@ LONG = 16
 
 
 def encode(df: DataFrame, text: str, path: str, out: str = "ids") -> DataFrame:
-    """``df`` with an array of token ids of its column ``text``."""
-    names = df.columns
+    """``df`` with an array of token ids of its column ``text``; it replaces a column ``out``."""
+    at, kept = df.columns.index(text), [i for i, c in enumerate(df.columns) if c.lower() != out.lower()]
+    names = [df.columns[i] for i in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         e = encoder(path, LONG)
         for b in sliced(batches):
-            ids = [np.frombuffer(e.encode(x), "<u4").astype("int32") for x in b.column(names.index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*names, out])
+            ids = [np.frombuffer(e.encode(x), "<u4").astype("int32") for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.array(ids, pa.list_(pa.int32()))], [*names, out])
 
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, ArrayType(IntegerType()))]))
+    return df.mapInArrow(run, StructType([*[df.schema.fields[i] for i in kept], StructField(out, ArrayType(IntegerType()))]))
 
 
 def decode(df: DataFrame, ids: str, path: str, out: str = "decoded") -> DataFrame:
-    """``df`` with the text of its array column ``ids``; a null array decodes to the empty text."""
-    names = df.columns
+    """``df`` with the text of its array column ``ids``, which replaces a column ``out``; a null array decodes to the empty text."""
+    at, kept = df.columns.index(ids), [i for i, c in enumerate(df.columns) if c.lower() != out.lower()]
+    names = [df.columns[i] for i in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         e = encoder(path, LONG)
         for b in sliced(batches):
-            texts = [e.decode(np.array(x or [], "<u4").tobytes()) for x in b.column(names.index(ids)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, out])
+            texts = [e.decode(np.array(x or [], "<u4").tobytes()) for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.array(texts, pa.string())], [*names, out])
 
     from pyspark.sql.types import StringType, StructField, StructType
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))
+    return df.mapInArrow(run, StructType([*[df.schema.fields[i] for i in kept], StructField(out, StringType())]))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -4,13 +4,14 @@ A unit vector is rotated at random and reduced to the signs of its coordinates;
 the inner product of the vector and its code, the correction factor. Code times rotated
 vector over that factor is an unbiased estimate of the cosine, with an error bound
 that shrinks with the dimension. Signs of independent rotations also serve as bucket
-codes: vectors of one label that agree on all bits of a table meet in a bucket. In a bucket
-the estimate and its bound decide which pairs are recomputed exactly in double precision;
+codes: vectors of one label that agree on all bits of a table meet in a bucket. To the buckets go ids and codes
+alone: the signs with the rotated coordinates in 8 bits, whose rounding enters the bound. Only vectors of pairs that
+estimate and bound leave open are fetched; those pairs are recomputed exactly in double precision, and
 only those with cosine >= THRESHOLD are links, counted in the first table where they meet.
 
-The bits of a table grow with the logarithm of the largest label, the tables so that a pair
+The bits of a table grow with the logarithm of the largest label (a bucket holds about ``FILL`` of it), the tables so that a pair
 exactly at the threshold is missed with a probability below MISS. Buckets beyond BLOCK members
-are compared block by block in separate tasks, all pairs of them.
+are compared block by block in separate tasks, all pairs of them. Labels of any type are compared as they are written.
 
 Null, zero and non-finite vectors and null labels link with nothing. Identical vectors of one
 label are one class whose size counts in its links. Vectors of another length only
@@ -35,6 +36,8 @@ THRESHOLD = 0.93
 MISS = 1e-4
 #: Members of a bucket that one task compares with another such block.
 BLOCK = 512
+#: Members of a bucket that the bits aim at.
+FILL = 256
 #: Standard errors that the bound adds to the estimate.
 SIGMAS = 4.0
 SEED = 11
@@ -42,7 +45,7 @@ SEED = 11
 
 def plan(largest: int) -> tuple[int, int]:
     """Bits of a table, and tables, for the largest label."""
-    bits = max(4, min(30, math.ceil(math.log2(max(largest, 1) / 16 + 1))))
+    bits = max(2, min(30, math.ceil(math.log2(max(largest, 1) / FILL + 1))))
     agree = (1 - math.acos(THRESHOLD) / math.pi) ** bits
     return bits, math.ceil(math.log(MISS) / math.log(1 - agree))
 
@@ -67,18 +70,56 @@ def _encode(bits: int, tables: int):
                 at = np.flatnonzero(widths == width)
                 x = np.frombuffer(b"".join(raws[i] for i in at), np.float64).reshape(len(at), width)
                 p = known.setdefault(width, rotations(width, math.ceil(bits * tables / width)))
-                signs = (x @ p.T > 0)[:, : bits * tables].reshape(len(at), tables, bits)
+                turned = x @ p.T
+                signs = (turned > 0)[:, : bits * tables].reshape(len(at), tables, bits)
                 codes = signs @ (1 << np.arange(bits, dtype=np.int64))
+                # The first rotation's coordinates in 8 bits, none of them 0, so that they keep the signs.
+                turned = turned[:, :width]
+                step = np.maximum(np.abs(turned).max(axis=1) / 127, 1e-300)
+                short = np.clip(np.rint(np.abs(turned) / step[:, None]), 1, 127) * np.where(turned > 0, 1, -1)
+                factor = np.abs(turned).sum(axis=1) / math.sqrt(width)
                 part = b.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codes.astype(np.int32).tolist(), pa.list_(pa.int32()))], [*b.schema.names, "codes"])
+                lists = [pa.array(codes.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array([r.tobytes() for r in short.astype(np.int8)], pa.binary()), pa.array(step), pa.array(factor)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *lists], [*b.schema.names, "codes", "short", "step", "factor"])
 
     return run
 
 
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each block that have a pair which the estimate leaves open, from the codes alone."""
+    for key, t in runs(batches, _KEYS):
+        if t.num_rows < 2:
+            continue
+        width, low, high = key[1], key[4], key[5]
+        block, factor, step = (t.column(c).to_numpy() for c in ("block", "factor", "step"))
+        left = np.flatnonzero(block == low)
+        right = left if low == high else np.flatnonzero(block == high)
+        if not len(left) or not len(right):
+            continue
+        short = packed(t.column("short"), np.int8).astype(np.float32)
+        code = np.where(short > 0, np.float32(1), np.float32(-1)) / np.float32(math.sqrt(width))
+        estimate = ((code[left] @ short[right].T) * step[right][None] / factor[left][:, None]).astype(np.float64)
+        rounding = (math.sqrt(width) * step[right])[None] / factor[left][:, None]
+        possible = estimate + _error(factor[left], width)[:, None] + rounding + 1e-5 >= THRESHOLD
+        if low == high:
+            np.fill_diagonal(possible, False)
+        use = np.union1d(left[possible.any(axis=1)], right[possible.any(axis=0)])
+        if len(use):
+            yield t.select([*_KEYS, "block", "row"]).take(pa.array(use)).combine_chunks().to_batches()[0]
+
+
+def _error(factor: np.ndarray, width: int) -> np.ndarray:
+    """The bound of an estimate that divides by ``factor``."""
+    return SIGMAS * np.sqrt(np.maximum(1 - factor**2, 0)) / factor / math.sqrt(max(width - 1, 1))
+
+
+_KEYS = ["label", "width", "at", "code", "low", "high"]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of links and, for each linked vector, an edge to the smallest id it is connected with in the block."""
     ids: list[np.ndarray] = []
-    for key, t in runs(batches, ["label", "width", "at", "code", "low", "high"]):
+    for key, t in runs(batches, _KEYS):
         if t.num_rows < 2:
             continue
         found = _links(t, key)
@@ -115,8 +156,7 @@ def _links(t: pa.Table, key: tuple) -> np.ndarray | None:
     if not len(left) or not len(right):
         return None
     estimate = (code[left] @ turned[right].T) / factor[left][:, None]
-    error = SIGMAS * np.sqrt(np.maximum(1 - factor[left] ** 2, 0)) / factor[left] / math.sqrt(max(width - 1, 1))
-    i, j = np.nonzero(estimate + error[:, None] >= THRESHOLD)
+    i, j = np.nonzero(estimate + _error(factor[left], width)[:, None] >= THRESHOLD)
     i, j = left[i], right[j]
     if low == high:
         i, j = i[i < j], j[i < j]
@@ -158,22 +198,25 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
                 out.append((v / np.sqrt((v * v).sum()) + 0.0).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], ["vec_id", "label", "vector"])
 
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
-    prepared = cut(vectors.mapInArrow(prepare, "vec_id long, label long, vector binary"))
+    kind = "long" if vectors.schema["label"].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast(kind).alias("label"))
+    prepared = cut(vectors.mapInArrow(prepare, f"vec_id long, label {kind}, vector binary"))
     usable = prepared.where("vector is not null and label is not null and vec_id is not null")
-    classes = cut(usable.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
+    classes = cut(usable.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("row", F.monotonically_increasing_id()))
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan(largest)
-    coded = cut(classes.select("id", "label", "n", "vector").mapInArrow(_encode(bits, tables), "id long, label long, n long, vector binary, codes array<int>"))
-    entries = coded.select("id", "label", F.length("vector").alias("bytes"), F.posexplode("codes").alias("at", "code"))
-    sizes = entries.groupBy("label", "bytes", "at", "code").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK)).drop("count")
+    coded = classes.select("row", "label", "n", "vector").mapInArrow(_encode(bits, tables), f"row long, label {kind}, n long, vector binary, codes array<int>, short binary, step double, factor double")
+    coded = cut(coded.withColumn("width", F.length("short")).drop("n", "vector"))
+    each = coded.select("row", "label", "width", "short", "step", "factor", F.posexplode("codes").alias("at", "code"))
+    sizes = each.groupBy("label", "width", "at", "code").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
     # A member goes to the pairs of its block with every block, each pair (low, high) once.
-    full = coded.withColumn("bytes", F.length("vector")).select("*", F.posexplode("codes").alias("at", "code"))
-    block = full.join(sizes, ["label", "bytes", "at", "code"]).withColumn("block", F.pmod(F.xxhash64("id", "at"), F.col("blocks")).cast("int"))
-    dealt = block.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).select("id", "label", (F.col("bytes") / 8).cast("int").alias("width"), "at", "code", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "n", "codes", "vector")
-    keys = ["label", "width", "at", "code", "low", "high"]
+    block = each.join(sizes, ["label", "width", "at", "code"]).withColumn("block", F.pmod(F.xxhash64("row", "at"), F.col("blocks")).cast("int"))
+    dealt = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", "width", "at", "code", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "row", "short", "step", "factor")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    compared = dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compare, "id long, root long, links long")
+    keyed = f"label {kind}, width int, at int, code int, low int, high int"
+    opened = cut(dealt.repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_open, f"{keyed}, block int, row long"))
+    whole = opened.join(classes.select("row", "id", "n", "vector"), "row").join(coded.select("row", "codes"), "row").select(*_KEYS, "block", "id", "n", "codes", "vector")
+    compared = whole.repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_compare, "id long, root long, links long")
     found = cut(compared.groupBy("id", "root").agg(F.sum("links").alias("links")))
     linked = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))

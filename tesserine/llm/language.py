@@ -162,20 +162,23 @@ def train(docs: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``proportions``, their names after ``prefix``."""
+    """``docs`` with ``lang_pred``, ``score`` and ``proportions``, their names after ``prefix``; they replace columns of these names."""
     from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
-    names, added = docs.columns, [f"{prefix}{x}" for x in ("lang_pred", "score", "proportions")]
+    added = [f"{prefix}{x}" for x in ("lang_pred", "score", "proportions")]
+    text = docs.columns.index("text")
+    names = [c for c in docs.columns if c.lower() not in added]
+    kept = [docs.columns.index(c) for c in names]
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value).open()
         for b in sliced(batches):
-            found = [m.mixture(t) for t in b.column(names.index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64()))], [*names, *added])
+            found = [m.mixture(t) for t in b.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64()))], [*names, *added])
 
     more = [StructField(x, t) for x, t in zip(added, (StringType(), DoubleType(), MapType(StringType(), DoubleType())), strict=True)]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(run, StructType([*[docs.schema.fields[i] for i in kept], *more]))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,21 +63,39 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
-        count, digest, banded = [], [], []
-        for text in batch.column(1).to_pylist():
-            s = shingle_set(text)
-            count.append(len(s))
-            digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            banded.append(bands(min_max(s)) if len(s) else np.empty(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
-        sets = [shingle_set(text).view(np.int64) for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "data"])
+def _node(doc_id: int, digest: bytes, by_text: bool) -> int:
+    """What stands for a document among the links: its id, or its set."""
+    return int.from_bytes(digest[:8], "little", signed=True) if by_text else doc_id
+
+
+def _sketch(by_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            count, digest, banded, node = [], [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingle_set(text)
+                count.append(len(s))
+                digest.append(_digest(s) if len(s) else None)
+                banded.append(bands(min_max(s)) if len(s) else np.empty(0, np.int64))
+                node.append(_node(doc_id, digest[-1], by_text) if len(s) else None)
+            columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(banded, pa.list_(pa.int64())), pa.array(node, pa.int64()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "bands", "node", "key"])
+
+    return run
+
+
+def _sets(by_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sets = [shingle_set(text) for text in batch.column(1).to_pylist()]
+            nodes = [_node(i, _digest(s), by_text) for i, s in zip(batch.column(0).to_pylist(), sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "data"])
+
+    return run
 
 
 def _listed(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,22 +104,37 @@ def _listed(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``."""
+    return _found(docs).drop("key")
+
+
+def _found(docs: DataFrame, by_text: bool = False) -> DataFrame:
+    """The same with ``key``, a hash of the text; ``by_text``: rows of one doc_id and different sets are documents of their own."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = cut(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, bands array<long>"))
+    sketched = cut(docs.withColumn("key", F.xxhash64("text")).mapInArrow(_sketch(by_text), "doc_id long, n_shingles long, digest binary, bands array<long>, node long, key long"))
     # Documents with one shingle set are one class, which its smallest doc_id stands for.
     known = sketched.where("doc_id is not null and digest is not null")
-    classes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")))
+    classes = cut(known.groupBy("digest").agg(F.min("node").alias("id"), F.min("doc_id").alias("first_doc"), F.min_by("bands", "doc_id").alias("bands")))
     members = cut(crowded(classes.select(F.explode("bands").alias("bucket"), "id")))
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    contents = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, data array<long>"))
+    wanted = members.select("id").distinct()
+    wanted = wanted.join(classes, "id").select(F.col("first_doc").alias("doc_id")) if by_text else wanted.withColumnRenamed("id", "doc_id")
+    contents = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(by_text), "id long, data array<long>"))
     linked = bucket_components(members, contents, _listed, PERCENT)
-    found = classes.join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    out = sketched.join(found, "digest", "left")
+    found = classes.join(linked, "id", "left").select("digest", "first_doc", F.coalesce("component", "id").alias("component_id"))
+    if by_text:
+        found = found.join(found.groupBy("component_id").agg(F.min("first_doc").alias("first")), "component_id").select("digest", F.col("first").alias("component_id"))
+    out = sketched.join(found.select("digest", "component_id"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "key")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that are not kept; all columns stay. Of rows that share a doc_id each goes or stays by its own text."""
+    gone = _found(docs, by_text=True).where("not kept").select(F.col("doc_id").alias("_tesserine_doc"), F.col("key").alias("_tesserine_key")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("_tesserine_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_tesserine_key"))
+    return docs.join(gone, same, "left_anti")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

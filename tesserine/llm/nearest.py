@@ -88,7 +88,7 @@ class Index:
                 s, p = s[p > 1e-3], p[p > 1e-3]
                 mass = (mass[:, None] * p[None]).ravel()
                 slots = np.concatenate([np.repeat(slots, len(s), axis=0), np.tile(s, len(slots))[:, None]], axis=1)
-                if len(mass) > TUPLES:  # the tail can't come before what is kept
+                if len(mass) > TUPLES:  # what the tail holds counts as not reached below
                     keep = np.argsort(-mass)[:TUPLES]
                     mass, slots = mass[keep], slots[keep]
             order = np.argsort(-mass, kind="stable")
@@ -153,15 +153,19 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = packed(t.column("vector"))
         q, c = np.flatnonzero(asks == 1), np.flatnonzero(asks == 0)
         norms = (x[c] ** 2).sum(axis=1)
+        repeated = len(np.unique(ids[c])) < len(c)
         for part in np.array_split(q, max(1, len(q) // 256)):
             rough = norms[None] - 2 * (x[part] @ x[c].T)
-            n = min(K + 6, len(c))
+            n = min(K + 6, len(c))  # more are looked at where ids come again
             near = np.argpartition(rough, n - 1, axis=1)[:, :n] if n < len(c) else np.tile(np.arange(n), (len(part), 1))
             # Where more candidates than that are as near as the last, ties are settled among all of them.
             crowd = np.zeros(len(part), bool)
             if n < len(c):
                 kth = np.partition(rough, K, axis=1)[:, K] + 1e-9 * (1 + norms.max())
                 crowd = (rough <= kth[:, None]).sum(axis=1) > n
+                if repeated:
+                    crowd[:] = True
+                    kth[:] = np.inf
             d = np.sqrt(((x[c[near]] - x[part][:, None, :]) ** 2).sum(axis=-1))
             q_ids, v_ids = np.repeat(ids[part], n), ids[c[near]].ravel()
             keep = (q_ids != v_ids) & ~np.repeat(crowd, n)
@@ -172,9 +176,8 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 these = c[rough[r] <= kth[r]]
                 these = these[ids[these] != ids[i]]
                 far = np.sqrt(((x[these] - x[i]) ** 2).sum(axis=1))
-                order = np.lexsort((ids[these], far))[:K]
-                kept.append(_triples(np.full(len(order), ids[i]), ids[these[order]], far[order]))
-                held += len(order)
+                kept.append(_best(_triples(np.full(len(these), ids[i]), ids[these], far)))
+                held += len(kept[-1])
         if held > 400_000:
             kept = [_best(np.concatenate(kept))]
             held = len(kept[0])

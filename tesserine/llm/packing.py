@@ -37,18 +37,25 @@ _BITS = 24  # of a sequence's number within its block
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """Positions of ``sizes`` in k groups with nearly equal sums."""
+    """Positions of ``sizes`` in k groups with nearly equal sums. A partial partition lists its windows that hold anything, fullest first."""
     children: list[tuple[int, int]] = []
-    heap = []
-    for i, size in enumerate(sizes):
-        sums, nodes = np.zeros(k, np.int64), np.full(k, -1, np.int64)
-        sums[0], nodes[0] = size, i
-        heap.append((-size, i, sums, nodes))
+    heap: list[tuple] = [(-size, i, None, None) for i, size in enumerate(sizes)]  # a piece alone needs no arrays
     heapq.heapify(heap)
     base, turn = len(sizes), len(sizes)
+
+    def opened(entry: tuple) -> tuple[np.ndarray, np.ndarray]:
+        return entry[2:] if entry[2] is not None else (np.array([-entry[0]]), np.array([entry[1]]))
+
     while len(heap) > 1:
-        _, _, sums, nodes = heapq.heappop(heap)
-        _, _, other, theirs = heapq.heappop(heap)
+        (sums, nodes), (other, theirs) = opened(heapq.heappop(heap)), opened(heapq.heappop(heap))
+        if len(sums) + len(other) <= k:  # no two windows meet: all stay as they are
+            sums, merged = np.concatenate([sums, other]), np.concatenate([nodes, theirs])
+            order = np.argsort(-sums, kind="stable")
+            sums, merged = sums[order], merged[order]
+            heapq.heappush(heap, (int((sums[-1] if len(sums) == k else 0) - sums[0]), turn, sums, merged))
+            turn += 1
+            continue
+        (sums, nodes), (other, theirs) = _filled(sums, nodes, k), _filled(other, theirs, k)
         sums, theirs = sums + other[::-1], theirs[::-1]
         both = np.flatnonzero((nodes >= 0) & (theirs >= 0))
         merged = np.where(nodes >= 0, nodes, theirs)
@@ -59,7 +66,7 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
         heapq.heappush(heap, (int(sums[-1] - sums[0]), turn, sums, merged))
         turn += 1
     groups = []
-    for node in heap[0][3].tolist() if heap else []:
+    for node in opened(heap[0])[1].tolist() if heap else []:
         group, todo = [], [node] if node >= 0 else []
         while todo:
             n = todo.pop()
@@ -71,6 +78,11 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return groups
 
 
+def _filled(sums: np.ndarray, nodes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A partial partition with its empty windows."""
+    return np.concatenate([sums, np.zeros(k - len(sums), np.int64)]), np.concatenate([nodes, np.full(k - len(nodes), -1, np.int64)])
+
+
 def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Positions of ``sizes`` (each within the capacity) in near-equal groups within the capacity."""
     if not sizes:

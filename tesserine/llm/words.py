@@ -23,4 +23,7 @@ def slices(text: str, size: int = SLICE) -> Iterator[str]:
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    found = _WORD.findall(text.lower())
+    if not "".join(found).isalpha() and found:  # number signs such as a half or a circled one are no letters
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+    return found

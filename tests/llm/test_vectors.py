@@ -103,3 +103,12 @@ def test_components(spark):
         root[y] = x
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: find(n) for n in root if n in got} and all(find(n) == n for n in root if n not in got)
+
+
+def test_labels_of_other_types(spark):
+    x = [1.0] * 16
+    rows = [(1, x, "a"), (2, x, "a"), (3, x, "b"), (4, x, None)]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, x, l) for i, x, l in [(1, x, 1.2), (2, x, 1.9), (3, x, 1.2)]], "vec_id long, embedding array<float>, label double")).collect()}
+    assert got == {1: 1, 2: 0, 3: 1}

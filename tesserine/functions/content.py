@@ -12,15 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Tags that end a block.
-_BLOCKS = r"(?i)<br\s*/?>|</(?:p|div|li|ul|ol|h[1-6]|section|article|header|footer|blockquote|pre|table|tr|td|th|figure|figcaption|dd|dt|dl)>"
+_BLOCKS = r"(?i)<br\s*/?>|</(?:h[1-6]|p|div|li|td|th|blockquote|section|article|button)>"
 _TAG = r"<[^>]*>"
 LEVELS = (2, 3, 4)
 
 
-def _decode(text: str) -> str:
-    return html.unescape(text)
-
-
 @F.pandas_udf(StringType())
 def decode_entities(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
@@ -179,14 +175,26 @@ def excerpt(text: Column, length: int = 200) -> Column:
     return F.when(F.length(plain) > length, F.concat(F.substring(plain, 1, length), F.lit("..."))).otherwise(plain)
 
 
-def ancestors(elements: DataFrame, most: int = 32) -> DataFrame:
-    """C11: ``elements(element_id, parent_id, title)`` with the titles of their ancestors from the root, and the level."""
-    spark = elements.sparkSession
-    elements.createOrReplaceTempView("_tesserine_elements")
-    return spark.sql(f"""WITH RECURSIVE up(element_id, at, path, level) MAX RECURSION LEVEL {most} AS (
-      SELECT element_id, parent_id, cast(array() AS array<string>), 1 FROM _tesserine_elements
-      UNION ALL SELECT u.element_id, e.parent_id, concat(array(e.title), u.path), u.level + 1 FROM up u JOIN _tesserine_elements e ON e.element_id = u.at)
-      SELECT element_id, path AS ancestors, level FROM up WHERE at IS NULL""")
+def ancestors(elements: DataFrame) -> DataFrame:
+    """C11: ``elements(element_id, parent_id, title)`` with the titles of their ancestors from the root, and the level.
+
+    Paths double in length each round, so depth costs its logarithm in joins. An element whose line of parents
+    ends at none of ``elements``, or runs in a circle, has no row.
+    """
+    none = F.array().cast("array<string>")
+    titles = elements.select(F.col("element_id").alias("at"), F.col("title").alias("_t"))
+    up = elements.select("element_id", F.col("parent_id").alias("at")).join(titles, "at", "left").select("element_id", "at", F.when(F.col("_t").isNull(), none).otherwise(F.array("_t")).alias("path"))
+    known, before = up, -1
+    while True:
+        known = known.persist()
+        open_rows = known.where("at is not null").count()
+        if open_rows == 0 or open_rows == before:
+            break
+        before = open_rows
+        above = known.select(F.col("element_id").alias("at"), F.col("at").alias("_at"), F.col("path").alias("_path"))
+        joined = known.join(above, "at", "left")
+        known = joined.select("element_id", F.when(F.col("at").isNull(), F.lit(None)).otherwise(F.col("_at")).alias("at"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"))
+    return known.where("at is null").select("element_id", F.col("path").alias("ancestors"), (F.size("path") + 1).alias("level"))
 
 
 def with_variants(products: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame]:

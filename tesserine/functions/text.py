@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -13,16 +12,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
+from tesserine.functions.stopwords import FIXED
+
 TOKEN = r"[\p{L}\p{N}]+"
 NGRAM_SIZES = (2, 3)
 
-#: The commonest stop words of the languages that have a built-in list. Fuller lists are files, see stop_words().
+#: Whole lists of six languages, the commonest words of two; fuller lists and other languages are files, see stop_words().
 STOP_WORDS = {
     "en": "a an the and but or nor for so yet about after as at before by from in into of off on onto out over to under up with i me my you your he him his she her it its we us our they them their this that these those is am are was were be been being have has had do does did will would can could should may might must not no".split(),
-    "fr": "le la les un une des de du et ou mais donc car ni que qui dans en sur sous avec sans pour par au aux ce ces cette il elle ils elles je tu nous vous est sont".split(),
-    "de": "der die das den dem des ein eine einer eines und oder aber in im an am auf aus bei mit nach von vor zu zum zur ist sind war nicht sich es er sie wir ihr".split(),
     "es": "el la los las un una unos unas de del y o pero en con sin por para que como es son se su sus lo al".split(),
-}
+} | FIXED
 
 #: The hamza-less and tatweel-bearing spellings of Arabic are folded by compatibility forms; this one letter is dropped.
 _TATWEEL = "ـ"
@@ -71,8 +70,11 @@ def tokenize_text(text: str) -> list[str]:
 
 
 def token_counts(of: Column) -> Column:
-    """map of token to frequency."""
-    return F.map_from_entries(F.transform(F.array_distinct(of), lambda t: F.struct(t, F.size(F.filter(of, lambda u: u == t)))))
+    """map of token to frequency, from one sort: of equal tokens the distance between first and last place."""
+    ordered = F.array_sort(of)
+    starts = F.filter(F.transform(ordered, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: (x["i"] == 0) | (x["t"] != F.element_at(ordered, F.greatest(x["i"], F.lit(1)))))
+    ends = F.concat(F.slice(F.transform(starts, lambda x: x["i"]), 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(ordered)))
+    return F.map_from_entries(F.zip_with(starts, ends, lambda x, end: F.struct(x["t"].alias("token"), (end - x["i"]).alias("count"))))
 
 
 def stop_words(language: str, folder: str | None = None, enabled: bool = True) -> list[str]:
@@ -195,9 +197,16 @@ def compounds(text: Column, longest: int = 255) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(COMPOUND), F.lit(0)), lambda c: F.length(c) <= longest)
 
 
+def is_compound_text(query: str) -> bool:
+    """F17 on the driver: ends in a name with a dot, which the last part may still lack; no dot first."""
+    text = (normalize_text(query) or "").strip()
+    return not text.startswith(".") and re.search(r"[^\W_]+\.[^\W_]*$", text) is not None and len(tokenize_text(text)) >= 2
+
+
 def is_compound_query(query: Column) -> Column:
     """F17."""
-    return F.trim(query).rlike(r"^[\p{L}\p{N}]+\.([\p{L}\p{N}]+(\.[\p{L}\p{N}]+)*\.?)?$")
+    text = F.trim(normalize(query))
+    return ~text.startswith(".") & text.rlike(r"[\p{L}\p{N}]+\.[\p{L}\p{N}]*$") & (F.size(tokens(text)) >= 2)
 
 
 def intent(query: Column) -> Column:
@@ -230,7 +239,3 @@ def filter_expression(filters: dict, required: Column | None = None) -> Column:
         if values:
             out = out & F.col(key).isin(values)
     return out
-
-
-def idf(df: int, n: int) -> float:
-    return math.log(1 + (n - df + 0.5) / (df + 0.5)) if n and df else 0.0

@@ -275,6 +275,22 @@ def export(log: DataFrame, cap: int = CAP) -> DataFrame:
     return newest.select("*", rank.alias("_rank"), more.alias("truncated")).where(F.col("_rank") <= cap).drop("_rank")
 
 
+def append(rows: DataFrame, path: str) -> None:
+    """Adds searches to the log at ``path``, a folder for each day, so that reports and retention read and drop whole days."""
+    rows.withColumn("day", F.to_date("date_created")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def write_export(log: DataFrame, path: str, kind: str = "csv", cap: int = CAP) -> None:
+    """The export as CSV rows with a heading, or as JSON with what belongs to the visitor nested."""
+    out = export(log, cap)
+    if kind == "csv":
+        out.write.mode("overwrite").option("header", True).csv(path)
+        return
+    visitor = [c for c in ("ip", "country", "city", "device_type", "browser", "os_name") if c in out.columns]
+    rest = [c for c in out.columns if c not in visitor]
+    out.select(*rest, F.struct(*visitor).alias("visitor")).write.mode("overwrite").json(path)
+
+
 def without(log: DataFrame, ids: list[int] | None = None, site_id: int | None = None, before: str | None = None) -> DataFrame:
     """What stays after a deletion by id, of a site, or of rows older than a date; none of these keeps all."""
     gone = F.lit(False)

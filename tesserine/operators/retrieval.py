@@ -78,10 +78,12 @@ def resolve(index: Index, tokens: list[str], site_id: int, s: Settings = Setting
                 seen.add(t)
         cap = s.fuzzy_cap_with_exact if token in exact else s.fuzzy_cap
         # The cap comes before the typo filter, so good candidates behind it are lost on purpose.
+        added = 0  # one more candidate than the cap, which the token itself may take
         for t, sim in sorted(fuzzy.get(token, []), key=lambda c: (-c[1], c[0]))[: cap + 1]:
-            if t not in seen and len(t) >= s.fuzzy_min_length and within_budget(token, t):
+            if added < cap and t != token and t not in seen and len(t) >= s.fuzzy_min_length and within_budget(token, t):
                 out.append(Resolved(position, t, "fuzzy", sim * s.fuzzy_weight))
                 seen.add(t)
+                added += 1
     return out
 
 
@@ -156,7 +158,21 @@ def exact_sequence(index: Index, scores: DataFrame, tokens: list[str], stop: lis
 
 
 def search(index: Index, query: str | ParsedQuery, site_id: int = 1, language: str | None = None, limit: int = 20, offset: int = 0, stop: list[str] | None = None, s: Settings = Settings(), types: list[str] | None = None) -> DataFrame:
-    """``site_id, document_key, score`` of a page, best first. limit 0: all."""
+    """``site_id, document_key, score`` of a page, best first. limit 0: all, in no order, for whoever merges and sorts them."""
+    return page(scores(index, query, site_id, language, stop, s, types), limit, offset)
+
+
+def search_sites(index: Index, query: str | ParsedQuery, site_ids: list[int], language: str | None = None, limit: int = 20, offset: int = 0, stop: list[str] | None = None, s: Settings = Settings(), types: list[str] | None = None) -> DataFrame:
+    """The page of several sites together; statistics are each site's own, a document counts once for each site."""
+    out = None
+    for site_id in dict.fromkeys(site_ids):
+        own = scores(index, query, site_id, language, stop, s, types)
+        out = own if out is None else out.unionByName(own)
+    return page(out if out is not None else scores(index, "", 0), limit, offset)
+
+
+def scores(index: Index, query: str | ParsedQuery, site_id: int = 1, language: str | None = None, stop: list[str] | None = None, s: Settings = Settings(), types: list[str] | None = None) -> DataFrame:
+    """``site_id, document_key, score`` of every hit in a site."""
     parsed = query if isinstance(query, ParsedQuery) else parse(query, language or "en")
     stop = stop or []
     tokens = [t for t in parsed.tokens if t not in stop]
@@ -196,7 +212,7 @@ def search(index: Index, query: str | ParsedQuery, site_id: int = 1, language: s
         out = out.join(index.doc_stats.where(language_match(F.col("language"), F.lit(language))).select(*KEY), KEY, "left_semi")
     if types:
         out = out.join(index.documents.where(F.lower("type").isin([t.lower() for t in types])).select(*KEY), KEY, "left_semi")
-    return page(out, limit, offset)
+    return out.select(*KEY, "score")
 
 
 def _summed(parts: list[DataFrame]) -> DataFrame:
@@ -208,7 +224,10 @@ def _summed(parts: list[DataFrame]) -> DataFrame:
 
 def page(scores: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """Score rounded to six places before the sort, so that a plan's order of addition decides no tie."""
-    out = scores.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "document_key")
+    out = scores.withColumn("score", F.round("score", 6))
+    if not limit and not offset:
+        return out
+    out = out.orderBy(F.desc("score"), "document_key", *(["site_id"] if "site_id" in scores.columns else []))
     out = out.offset(offset) if offset else out
     return out.limit(limit) if limit else out
 

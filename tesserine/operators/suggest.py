@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserine.functions.text import language_match, normalize_text, tokenize_text
+from tesserine.functions.text import language_match, normalize_text, search_text, tokenize_text
 from tesserine.operators.index import KEY, Index
 from tesserine.operators.retrieval import Settings, resolve, with_tokens
 
@@ -57,12 +57,18 @@ def compounds(index: Index, prefix: str, limit: int = 10) -> DataFrame:
 
 def elements(docs: DataFrame, prefix: str, site_id: int | None = None, kind: str | None = None, limit: int = 10) -> DataFrame:
     """A5: titles that begin with the prefix."""
-    out = docs.withColumn("search_text", F.lower(F.trim(F.regexp_replace("title", r"\s+", " ")))).where(F.col("search_text").startswith((normalize_text(prefix) or "").strip()))
+    out = docs.withColumn("search_text", search_text(F.col("title"))).where(F.col("search_text").startswith((normalize_text(prefix) or "").strip()))
     out = out if site_id is None else out.where(F.col("site_id") == site_id)
     out = out if kind is None else out.where(F.col("type") == kind)
     return out.select("element_id", "title", "type").orderBy("title", "element_id").limit(limit)
 
 
+def dedupe(results: DataFrame) -> DataFrame:
+    """Of ``results(place, site_id, element_id, type, ...)`` merged from several indices the first of each site, element and type."""
+    first = Window.partitionBy("site_id", "element_id", "type").orderBy("place")
+    return results.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+
+
 def suggest(index: Index, query: str, site_id: int = 1, limit: int = 10, minimum: int = 2) -> DataFrame:
     """Compounds for a query that is one, else completions; nothing below the minimum length."""
     from tesserine.plans.query import understand

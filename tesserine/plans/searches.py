@@ -1,6 +1,6 @@
 """Registered index, search, suggestion, content and sync queries, and the SQL that checks each.
 
-The index of a table folder is built once a session and kept, never inside a query.
+The index of a table folder is built once and kept while the folder stays as it is, never inside a query.
 """
 
 from __future__ import annotations
@@ -19,12 +19,20 @@ from tesserine.streaming import sync
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 STOP = text.stop_words("en")
-_built: dict[tuple[str, str], I.Index] = {}
+_built: dict[tuple, I.Index] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> I.Index:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The index of a folder as it stands: built again when its documents change; one other is kept, older ones are released."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{sf_dir}/documents.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, sf_dir, files.getFileStatus(path).getModificationTime(), files.getContentSummary(path).getLength())
     if key not in _built:
+        for old in list(_built)[: max(0, len(_built) - 1)]:
+            gone = _built.pop(old)
+            if old[0] == key[0]:
+                gone.unpersist()
         _built[key] = I.build(documents(spark, sf_dir), STOP).persist()
     return _built[key]
 

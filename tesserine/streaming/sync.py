@@ -42,6 +42,14 @@ def due(rows: DataFrame, now: Column, stale_after: int = MAX_AGE) -> DataFrame:
     return rows.where(waiting | stuck).orderBy("queued_at", *KEY)
 
 
+def succeeded(rows: DataFrame, ids: list[int], token: str) -> DataFrame:
+    """Without the rows done under a claim; those that changed meanwhile wait again, from that change on."""
+    mine = F.coalesce(F.col("element_id").isin(ids) & (F.col("claim_token") == token), F.lit(False))
+    again = mine & F.col("dirty_at").isNotNull()
+    out = rows.where(~mine | again)
+    return out.withColumns({"status": F.when(again, "pending").otherwise(F.col("status")), "attempt_count": F.when(again, 0).otherwise(F.col("attempt_count")), "queued_at": F.when(again, F.col("dirty_at")).otherwise(F.col("queued_at")), "claim_token": F.when(~again, F.col("claim_token")), "dirty_at": F.when(~again, F.col("dirty_at"))})
+
+
 def purge(rows: DataFrame, now: Column, max_age: int = MAX_AGE) -> DataFrame:
     """T5: without abandoned rows that are too old."""
     return rows.where(~((F.col("status") == "abandoned") & (F.col("queued_at") < now - F.make_dt_interval(secs=F.lit(max_age)))))

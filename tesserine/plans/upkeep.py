@@ -58,7 +58,7 @@ _add("document_exists", lambda s, d: I.document_exists(index(s, d), read(s, d, "
 _add("list_indices", lambda s, d: I.list_indices({t: read(s, d, t) for t in ("documents", "benchmark", "conversations")}), " UNION ALL ".join(f"SELECT '{t}' AS index_handle, count(*) AS entries FROM {t}" for t in ("documents", "benchmark", "conversations")))
 _add("clear_index_site", lambda s, d: I.clear(_sites(s, d).withColumn("index_handle", F.col("language")), "fr", 2).select("document_key"), "SELECT document_key FROM docs UNION ALL SELECT element_id::VARCHAR || '_2' FROM docs WHERE language = 'de'", DOCS_SQL)
 _add("orphan_sections", lambda s, d: I.delete_orphan_sections(read(s, d, "conversations").select(F.lit(1).alias("site_id"), F.col("conv_id").alias("element_id"), F.concat_ws("_", "conv_id", "turn").alias("document_key")), 1, 3, ["3_0", "3_1"]).groupBy("element_id").agg(F.count("*").alias("n")), "SELECT conv_id AS element_id, count(*) AS n FROM conversations WHERE conv_id <> 3 OR turn IN (0, 1) GROUP BY 1")
-_add("orphan_storage", lambda s, d: I.orphan_storage(read(s, d, "documents").select(F.col("source").alias("index_handle")), read(s, d, "documents").where("lang = 'fr'").select(F.col("source").alias("index_handle"))), "SELECT DISTINCT source AS index_handle FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'fr')")
+_add("orphan_storage", lambda s, d: I.orphan_storage(read(s, d, "documents").select(F.col("source").alias("index_handle")), read(s, d, "documents").where("n_chars > 20000").select(F.col("source").alias("index_handle"))), "SELECT DISTINCT source AS index_handle FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE n_chars > 20000)")
 _add("stale_ngrams", lambda s, d: _stale(s, d), f"SELECT term, count(*) AS n FROM (SELECT term, unnest(g) AS g FROM (SELECT term, list_distinct(list_filter([substr(' ' || term || ' ', i, 2) FOR i IN range(1, length(term) + 2)] || [substr(' ' || term || ' ', i, 3) FOR i IN range(1, length(term) + 1)], lambda g: trim(g) <> '')) AS g FROM term_stats) WHERE term NOT IN (SELECT t FROM full_docs, unnest(all_tokens) u(t) WHERE language <> 'fr')) GROUP BY term", INDEX_SQL)
 
 

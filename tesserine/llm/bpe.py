@@ -22,8 +22,8 @@ import numpy as np
 #: A run of bytes beyond this length without a split is encoded by tree concatenation, unless an encoder is given another limit.
 LONG = 2048
 LEAF = 512
-#: Chunks remembered by a task; beyond, it forgets them all.
-MEMORY = 300_000
+#: Chunks remembered by a process, about 200 bytes each; beyond, it forgets them all.
+MEMORY = 600_000
 
 #: White space next to a space, or anything that the fast split does not know: the slow way, still exact.
 _ODD = re.compile(r"[^\S ] | [^\S ]|  |\n\n|[^\S \n]|[\x00-\x08\x0e-\x1f\x7f-\xa0]|^[ \n]|[ \n]$")
@@ -40,8 +40,8 @@ def _byte_letters() -> dict[str, int]:
 class Encoder:
     """One vocabulary file of the tokenizers library: ``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, long: int = LONG):
-        self.long = long
+    def __init__(self, path: str, long: int = LONG, memory: int = MEMORY):
+        self.long, self.memory = long, memory
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         import tiktoken
         from tokenizers import Tokenizer
@@ -123,7 +123,7 @@ class Encoder:
         if len(raw) > self.long:
             return np.array(self.tree(piece, min(LEAF, max(1, self.long // 2))), "<u4").tobytes()
         out = array("I", self.merges.encode_single_piece(raw + b"\xff" if self.suffix else raw)).tobytes()
-        if len(self.piece_ids) > MEMORY:
+        if len(self.piece_ids) > self.memory:
             self.piece_ids.clear()
         self.piece_ids[piece] = out
         return out
@@ -195,16 +195,16 @@ class _Known(dict):
     def __missing__(self, chunk: str) -> bytes:
         ids = self.encoder.chunk(chunk)
         if len(chunk) <= 48:
-            if len(self) >= MEMORY:
+            if len(self) >= self.encoder.memory:
                 self.clear()
             self[chunk] = ids
         return ids
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, long: int = LONG) -> Encoder:
-    """One encoder for a path, a limit and a Python process."""
-    return Encoder(path, long)
+def encoder(path: str, long: int = LONG, memory: int = MEMORY) -> Encoder:
+    """One encoder for these arguments and a Python process."""
+    return Encoder(path, long, memory)
 
 
 def tokenizer_path(name: str) -> str:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.bpe import encoder, tokenizer_path
+from tesserine.llm.bpe import MEMORY, encoder, tokenizer_path
 from tesserine.llm.common import cut, sliced, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -95,9 +95,9 @@ def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         k += 1
 
 
-def _pieces(path: str):
+def _pieces(path: str, memory: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, task, row, end = encoder(path), TaskContext.get().partitionId(), 0, END_ID.to_bytes(4, "little")
+        e, task, row, end = encoder(path, memory=memory), TaskContext.get().partitionId(), 0, END_ID.to_bytes(4, "little")
         for b in sliced(batches):
             out: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -130,10 +130,10 @@ def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(sequence_id=sequence, offset=offset)[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]].astype({"doc_id": "Int64"})
 
 
-def pack(docs: DataFrame, path: str) -> DataFrame:
-    """One row for each piece of ``docs(doc_id, text)``, with its place in a sequence."""
+def pack(docs: DataFrame, path: str, memory: int = MEMORY) -> DataFrame:
+    """One row for each piece of ``docs(doc_id, text)``, with its place in a sequence. ``memory``: chunks that a Python process remembers, for speed alone."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = cut(docs.mapInArrow(_pieces(path), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long"))
+    pieces = cut(docs.mapInArrow(_pieces(path, memory), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long"))
     total = pieces.agg(F.sum("length")).first()[0] or 0
     blocks = max(1, total // (BLOCK_WINDOWS * CAPACITY))
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))

@@ -36,7 +36,17 @@ _add("query_length_distribution", _on_log(A.query_lengths), f"""SELECT b.bucket,
 _add("word_cloud", _on_log(lambda log: A.word_cloud(log, stop_words("en"))), f"""SELECT word, sum(count)::BIGINT AS count FROM (SELECT unnest(string_split(lower(query), ' ')) AS word, count FROM (
   SELECT query, count(*) AS count FROM (SELECT DISTINCT query, {_ACT} AS action FROM log) GROUP BY query ORDER BY count DESC, query LIMIT 500)) WHERE word <> '' AND word NOT IN ({', '.join(repr(w) for w in stop_words('en'))}) GROUP BY word ORDER BY count DESC, word LIMIT 50""")
 _add("zero_result_queries", _on_log(A.zero_result_queries), f"SELECT query, count(*) AS count FROM (SELECT query, {_ACT} AS action, {_OUT} FROM log GROUP BY ALL) WHERE {_ZERO} GROUP BY query ORDER BY count DESC, query LIMIT 30")
-QUERIES["zero_result_clusters"] = _on_log(A.zero_result_clusters)
+_add("zero_result_clusters", _on_log(A.zero_result_clusters), "SELECT * FROM (SELECT unnest(found, recursive := true) FROM (SELECT found FROM walk ORDER BY i DESC LIMIT 1)) ORDER BY count DESC, representative LIMIT 10")
+SQL["zero_result_clusters"] = SQL["zero_result_clusters"].replace("SELECT * FROM (SELECT unnest(", f""", zero AS (
+  SELECT query, count(*) AS count FROM (SELECT query, {_ACT} AS action, {_OUT} FROM log GROUP BY ALL) WHERE {_ZERO} GROUP BY query ORDER BY count DESC, query LIMIT 30
+), ordered AS (
+  SELECT query, count, row_number() OVER (ORDER BY count DESC, query) AS i FROM zero
+), walk AS (
+  SELECT 0::BIGINT AS i, []::STRUCT(representative VARCHAR, count BIGINT, queries BIGINT)[] AS found
+  UNION ALL
+  SELECT i, CASE WHEN home = 0 THEN list_append(found, {{'representative': query, 'count': count, 'queries': 1::BIGINT}}) ELSE list_transform(found, lambda c, j: CASE WHEN j = home THEN {{'representative': c.representative, 'count': c.count + count, 'queries': c.queries + 1}} ELSE c END) END
+  FROM (SELECT o.i, o.query, o.count, w.found, coalesce(list_position(list_transform(w.found, lambda c: contains(c.representative, o.query) OR contains(o.query, c.representative) OR levenshtein(c.representative, o.query) <= 2), true), 0) AS home FROM walk w JOIN ordered o ON o.i = w.i + 1)
+) SELECT * FROM (SELECT unnest(""", 1).replace("WITH ", "WITH RECURSIVE ", 1)
 for _dim in ("intent", "source"):
     _add(f"{_dim}_breakdown", _on_log(lambda log, d=_dim: A.breakdown(log, d, share=True)), f"""SELECT {_dim}, count, round(count * 100.0 / sum(count) OVER (), 1) AS percentage FROM (
   SELECT {_dim}, count(*) AS count FROM (SELECT DISTINCT {_dim}, {_ACT} AS action FROM log WHERE {_dim} IS NOT NULL) GROUP BY {_dim})""")

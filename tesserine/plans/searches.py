@@ -128,8 +128,20 @@ _JACCARD_SQL = f"""{INDEX_SQL}, {_GRAMS}, asked AS (
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, term) AS r FROM alike WHERE similarity >= CASE WHEN length(query) = 4 THEN 0.2 ELSE 0.25 END
 )"""
 _add("ngram_jaccard_topk", _jaccard, "SELECT query, term, round(similarity, 6) AS similarity FROM best WHERE r <= 100", _JACCARD_SQL)
-_add("typo_budget", lambda s, d: R.typo_candidates(_jaccard(s, d)).select("query", "term"), """SELECT query, term FROM best WHERE r <= 100 AND (starts_with(term, query) OR damerau_levenshtein(query, term) + (substr(query, 1, 1) <> substr(term, 1, 1))::INT <= CASE WHEN length(query) <= 3 THEN 0 WHEN length(query) <= 7 THEN 1 ELSE 2 END)""", _JACCARD_SQL)
-QUERIES["fuzzy_bm25"] = lambda s, d: R.search(index(s, d), "tiom", stop=STOP).select("document_key", "score")
+_BUDGET = "(starts_with(term, query) OR damerau_levenshtein(query, term) + (substr(query, 1, 1) <> substr(term, 1, 1))::INT <= CASE WHEN length(query) <= 3 THEN 0 WHEN length(query) <= 7 THEN 1 ELSE 2 END)"
+_add("typo_budget", lambda s, d: R.typo_candidates(_jaccard(s, d)).select("query", "term"), f"SELECT query, term FROM best WHERE r <= 100 AND {_BUDGET}", _JACCARD_SQL)
+# Of each word the term itself and its nearest terms within the typo budget: three beside an exact one, else a hundred.
+_RESOLVED_SQL = f"""{_JACCARD_SQL}, near AS (
+  SELECT query, term, similarity, (SELECT count(*) FROM term_stats t WHERE t.term = b.query) AS known FROM best b WHERE r <= 101 AND term <> query AND length(term) >= 3 AND {_BUDGET} AND r <= CASE WHEN query IN (SELECT term FROM term_stats) THEN 4 ELSE 101 END
+), resolved AS (
+  SELECT query, term, 0.4 * similarity AS weight, false AS exact FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, term) AS k FROM near) WHERE k <= CASE WHEN known > 0 THEN 3 ELSE 100 END
+  UNION ALL SELECT query, query, 1.0, true FROM asked WHERE query IN (SELECT term FROM term_stats)
+), fuzzy AS (
+  SELECT query, document_key, sum(base * weight * CASE WHEN exact AND is_title THEN 5.0 ELSE 1.0 END) AS score FROM resolved JOIN scored USING (term) GROUP BY ALL
+)"""
+_add("fuzzy_bm25", lambda s, d: R.search(index(s, d), "tiom", stop=STOP).select("document_key", "score"), f"SELECT document_key, round(score, 6) AS score FROM fuzzy WHERE query = 'tiom' {_PAGE}", _RESOLVED_SQL)
+_add("fuzzy_bm25_or", lambda s, d: R.search(index(s, d), "therr OR ionn", stop=STOP).select("document_key", "score"), f"SELECT document_key, round(sum(score), 6) AS score FROM fuzzy WHERE query IN ('therr', 'ionn') GROUP BY document_key {_PAGE}", _RESOLVED_SQL)
+_add("resolved_terms", lambda s, d: s.createDataFrame([(q, r.term, r.match, r.weight) for q in _ASK for r in R.resolve(index(s, d), [q], 1)], "query string, term string, match string, weight double").withColumn("weight", F.round("weight", 6)), "SELECT query, term, CASE WHEN exact THEN 'exact' ELSE 'fuzzy' END AS match, round(weight, 6)::DOUBLE AS weight FROM resolved", _RESOLVED_SQL)
 
 _both = f"SELECT document_key, round(score, 6) AS score FROM ({_sum(repr(A))})"
 
@@ -170,10 +182,35 @@ _add("compound_suggestions", lambda s, d: S.compounds(index(s, d), "t"), """SELE
 _add("element_suggestions", lambda s, d: S.elements(documents(s, d), "the", kind="entry"), "SELECT element_id, title, type FROM docs WHERE starts_with(lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))), 'the') ORDER BY title, element_id LIMIT 10", DOCS_SQL)
 
 _pages = lambda s, d: read(s, d, "pages")
-QUERIES["html_clean"] = lambda s, d: _pages(s, d).select("page_id", content.clean_body(F.col("html")).alias("body"))
-QUERIES["headings"] = lambda s, d: _pages(s, d).select("page_id", F.explode(content.headings(F.col("html"), (1,))).alias("h")).select("page_id", "h.*")
-QUERIES["sections_exploded"] = lambda s, d: content.split_sections(_pages(s, d).select(F.col("page_id").cast("string").alias("document_key"), "url", "html"), "html", (1,))
-QUERIES["excerpts"] = lambda s, d: _pages(s, d).select("page_id", content.excerpt(F.col("html")).alias("excerpt"))
+#: The tables' pages have one ``h1`` each, without id, and four entities; the SQL says the rules for such pages.
+_ENTITIES = (("&quot;", "\""), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def _plain_sql(html: str) -> str:
+    out = f"regexp_replace(regexp_replace({html}, '<br\\s*/?>|</(h[1-6]|p|div|li|td|th|blockquote|section|article|button)>', ' ', 'gi'), '<[^>]*>', '', 'g')"
+    for entity, sign in _ENTITIES:
+        out = f"replace({out}, '{entity}', '{sign}')"
+    return f"trim(regexp_replace({out}, '[\\s\\x{{a0}}]+', ' ', 'g'))"
+
+
+def _without_sql(html: str, *tags: str) -> str:
+    for tag in tags:
+        html = f"regexp_replace({html}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
+    return html
+
+
+_OFF = ("script", "style", "pre")
+_PARTS_SQL = f"""parts AS (
+  SELECT page_id, url, html, regexp_extract(html, '(?is)^(.*?)<h1\\b', 1) AS lead, regexp_extract(html, '(?is)</h1>(.*)$', 1) AS after, {_plain_sql("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)")} AS title FROM pages
+), named AS (
+  SELECT *, trim(regexp_replace(strip_accents(lower(title)), '[^\\p{{L}}\\p{{N}}_]+', '-', 'g'), '-') AS anchor, regexp_matches(after, '(?is)<p\\b[^>]*>(.*?)</p>') AS has_p, regexp_extract(after, '(?is)<p\\b[^>]*>(.*?)</p>', 1) AS p FROM parts WHERE title <> ''
+)"""
+_add("html_clean", lambda s, d: _pages(s, d).select("page_id", content.clean_body(F.col("html")).alias("body")), f"SELECT page_id, {_plain_sql(_without_sql('html', 'script', 'style', *[f'h{i}' for i in range(1, 7)], 'pre'))} AS body FROM pages")
+_add("headings", lambda s, d: _pages(s, d).select("page_id", F.explode(content.headings(F.col("html"), (1,))).alias("h")).select("page_id", "h.*"),
+     f"SELECT page_id, title AS text, anchor AS id, 1 AS level, CASE WHEN has_p THEN {_plain_sql('p')} ELSE {_plain_sql('after')} END AS description FROM named", _PARTS_SQL)
+_add("sections_exploded", lambda s, d: content.split_sections(_pages(s, d).select(F.col("page_id").cast("string").alias("document_key"), "url", "html"), "html", (1,)),
+     f"SELECT page_id::VARCHAR AS document_key, url, -1 AS section_index, '' AS section_title, {_plain_sql(_without_sql('lead', *_OFF))} AS content FROM named WHERE {_plain_sql(_without_sql('lead', *_OFF))} <> '' UNION ALL SELECT page_id::VARCHAR || '_' || anchor, url || '#' || anchor, 0, title, {_plain_sql(_without_sql('after', *_OFF))} FROM named", _PARTS_SQL)
+_add("excerpts", lambda s, d: _pages(s, d).select("page_id", content.excerpt(F.col("html")).alias("excerpt")), f"SELECT page_id, CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END AS excerpt FROM (SELECT page_id, {_plain_sql('html')} AS t FROM pages)")
 QUERIES["highlights"] = lambda s, d: _hits(s, d, A, 20).join(documents(s, d), "document_key").select("document_key", highlight.highlight(F.col("title"), [A]).alias("title"), highlight.snippets(F.col("content"), [A]).alias("snippets"))
 
 

@@ -8,7 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tesserine.functions.text import normalize_text, tokenize_text
 
@@ -136,3 +136,38 @@ def snippets(text: Column, terms: list[str], length: int = 200, most: int = 3) -
         return s.map(lambda t: snippets_of(t, terms, length, most))
 
     return run(text)
+
+
+def hit_snippet(text: Column, terms: list[str], mode: str = "balanced", length: int = 150) -> Column:
+    """H3 for a column."""
+
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: snippet_of(t, terms, mode, length))
+
+    return run(text)
+
+
+def field_snippet(fields: dict[str, Column], body: Column, terms: list[str], preferred: tuple[str, ...] = (), mode: str = "balanced", length: int = 150) -> Column:
+    """H4 for columns: the snippet of the field that suits best."""
+    names = list(fields)
+
+    @F.pandas_udf(StringType())
+    def run(body: pd.Series, *values: pd.Series) -> pd.Series:
+        rows = zip(body, *values, strict=True)
+        return pd.Series([best_snippet(dict(zip(names, own, strict=True)), text or "", terms, preferred, mode, length) for text, *own in rows], dtype=object)
+
+    return run(body, *fields.values())
+
+
+_PART = StructType([StructField("title", StringType()), StructField("snippet", StringType())])
+
+
+def heading_parts(body: Column, titles: Column, terms: list[str], every: bool = False, length: int = 150) -> Column:
+    """H5 for columns: ``titles`` is the array of a body's headings."""
+
+    @F.pandas_udf(ArrayType(_PART))
+    def run(body: pd.Series, titles: pd.Series) -> pd.Series:
+        return pd.Series([[{"title": h, "snippet": part} for h, part in heading_snippets(b or "", list(t) if t is not None else [], terms, every, length)] for b, t in zip(body, titles, strict=True)], dtype=object)
+
+    return run(body, titles)

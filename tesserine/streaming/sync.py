@@ -103,19 +103,48 @@ def buffer_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count("*").alias("count"), F.min("queued_at").alias("oldest"))
 
 
-def buffer_search(rows: DataFrame, status: str | None = None, index_handle: str | None = None, op: str | None = None, site_id: int | None = None, text: str | None = None, sort: str = "queued_at", descending: bool = False, limit: int = 50) -> DataFrame:
-    """By equality filters and text in the error or id, sorted by a permitted column."""
+#: The columns a listing may be sorted by.
+SORTS = ("queued_at", "attempt_count", "status", "next_attempt_at", "index_handle", "op")
+
+
+def buffer_search(rows: DataFrame, status: str | None = None, index_handle: str | None = None, op: str | None = None, site_id: int | None = None, text: str | None = None, sort: str = "queued_at", descending: bool = False, limit: int = 50, stuck_at: Column | None = None) -> DataFrame:
+    """By equality filters, by text in the error or a whole id, and by being overdue at a time; sorted by a permitted column."""
     out = rows
     for name, value in (("status", status), ("index_handle", index_handle), ("op", op), ("site_id", site_id)):
         if value is not None:
             out = out.where(F.col(name) == value)
     if text:
-        out = out.where(F.col("last_error").contains(text) | F.col("element_id").cast("string").contains(text))
-    sort = sort if sort in ("queued_at", "status", "op", "element_id", "attempt_count") else "queued_at"
+        same = F.col("last_error").contains(text)
+        out = out.where(same | (F.col("element_id") == int(text)) if text.isascii() and text.isdigit() else same)
+    if stuck_at is not None:
+        out = out.where(overdue(stuck_at))
+    if sort not in SORTS:
+        sort, descending = "queued_at", False
     return out.orderBy(F.desc(sort) if descending else F.asc(sort), *KEY).limit(limit)
 
 
-def retry(rows: DataFrame, ids: list[int]) -> DataFrame:
-    """M6: failed and abandoned rows back to pending."""
+def overdue(now: Column, stale_after: int = MAX_AGE) -> Column:
+    """Whether a row should have been tried by now, or has been in work for too long."""
+    return (F.col("status").isin("pending", "failed") & (F.col("next_attempt_at") <= now)) | ((F.col("status") == "processing") & (F.col("claimed_at") < now - F.make_dt_interval(secs=F.lit(stale_after))))
+
+
+def retry(rows: DataFrame, ids: list[int], now: Column | None = None) -> DataFrame:
+    """M6: failed and abandoned rows back to pending, due at once, without claim and error."""
     again = F.col("element_id").isin(ids) & F.col("status").isin("failed", "abandoned")
-    return rows.withColumn("attempt_count", F.when(again, 0).otherwise(F.col("attempt_count"))).withColumn("status", F.when(again, "pending").otherwise(F.col("status")))
+    cleared = {c: F.when(~again, F.col(c)) for c in ("claimed_at", "claim_token", "last_error") if c in rows.columns}
+    if "next_attempt_at" in rows.columns:
+        cleared["next_attempt_at"] = F.when(again, now if now is not None else F.current_timestamp()).otherwise(F.col("next_attempt_at"))
+    return rows.withColumns({"attempt_count": F.when(again, 0).otherwise(F.col("attempt_count")), "status": F.when(again, "pending").otherwise(F.col("status")), **cleared})
+
+
+def removed(rows: DataFrame, ids: list[int], now: Column, stale_after: int = MAX_AGE) -> DataFrame:
+    """M6: without the rows of these ids, but for those that are in work and not overdue."""
+    working = (F.col("status") == "processing") & ~F.coalesce(F.col("claimed_at") < now - F.make_dt_interval(secs=F.lit(stale_after)), F.lit(False))
+    return rows.where(~F.col("element_id").isin(ids) | working)
+
+
+def purge_status(rows: DataFrame, status: str) -> DataFrame:
+    """M6: without the rows of a status."""
+    if status not in ("pending", "processing", "failed", "abandoned"):
+        raise ValueError(f"no such status: {status}")
+    return rows.where(F.col("status") != status)

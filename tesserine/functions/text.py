@@ -17,7 +17,7 @@ from tesserine.functions.stopwords import FIXED
 TOKEN = r"[\p{L}\p{N}]+"
 NGRAM_SIZES = (2, 3)
 
-#: Whole lists of six languages, the commonest words of two; fuller lists and other languages are files, see stop_words().
+#: Whole lists of eight languages, the commonest words of two; fuller lists and other languages are files, see stop_words().
 STOP_WORDS = {
     "en": "a an the and but or nor for so yet about after as at before by from in into of off on onto out over to under up with i me my you your he him his she her it its we us our they them their this that these those is am are was were be been being have has had do does did will would can could should may might must not no".split(),
     "es": "el la los las un una unos unas de del y o pero en con sin por para que como es son se su sus lo al".split(),

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserine.functions.text import adaptive_threshold, language_match, ngrams, normalize_text, tokenize_text, within_budget, within_budget_column
+from tesserine.functions.text import adaptive_threshold, jaccard, language_match, ngrams, normalize_text, tokenize_text, within_budget, within_budget_column
 from tesserine.operators.index import KEY, Index
 from tesserine.plans.query import ParsedQuery, parse
 
@@ -261,3 +261,9 @@ def batch_bm25(index: Index, queries: DataFrame, k: int = 10, s: Settings = Sett
 def typo_candidates(pairs: DataFrame) -> DataFrame:
     """``pairs(query, term)`` within the typo budget."""
     return pairs.where(within_budget_column(F.col("query"), F.col("term")))
+
+
+def similar(pairs: DataFrame, base: float = 0.25) -> DataFrame:
+    """``pairs(query, term)`` with the n-gram similarity and whether it reaches the threshold of the query's length."""
+    alike = jaccard(ngrams(F.col("query")), ngrams(F.col("term")))
+    return pairs.withColumn("similarity", alike).withColumn("similar", F.col("similarity") >= adaptive_threshold(F.length("query"), base))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions import highlight
 from tesserine.operators import interface as E
+from tesserine.operators import retrieval as R
 from tesserine.plans.searches import _PARTS_SQL, _PLAIN, _W, INDEX_SQL, STOP, A, _plain_sql, _without_sql, index
 from tesserine.plans.upkeep import _NOW, _ROWS, _rows
 from tesserine.sources.tables import DOCS_SQL, documents, read
@@ -137,6 +138,11 @@ _q = lambda v: "NULL" if v is None else f"'{v}'"
 _add("device_details", lambda s, d: read(s, d, "events").select(E.device(_pick("user_id", [a[0] for a in _AGENTS])).alias("v")).select("v.*").groupBy("device_type", "browser", "os_name", "is_robot", "bot_name").agg(F.count("*").alias("n")),
      f"SELECT device_type, browser, os_name, bot_name IS NOT NULL AS is_robot, bot_name, count(*) AS n FROM events JOIN (VALUES {', '.join(f'({i}, {_q(a[1])}, {_q(a[2])}, {_q(a[3])}, {_q(a[4])})' for i, a in enumerate(_AGENTS))}) v(i, device_type, browser, os_name, bot_name) ON user_id % 6 = i GROUP BY ALL")
 
+# -- likeness of pairs ------------------------------------------------------------------------------
+_grams = lambda c: f"list_distinct(list_filter([substr(' ' || {c} || ' ', i, 2) FOR i IN range(1, length({c}) + 2)] || [substr(' ' || {c} || ' ', i, 3) FOR i IN range(1, length({c}) + 1)], lambda g: trim(g) <> ''))"
+_add("similar_pairs", lambda s, d: R.similar(read(s, d, "part").select(F.substring("p_name", 1, 4).alias("query"), F.element_at(F.split("p_name", " "), 1).alias("term")).distinct()).select("query", "term", F.round("similarity", 6).alias("similarity"), "similar"),
+     f"SELECT query, term, round(similarity, 6) AS similarity, similarity >= CASE WHEN length(query) <= 2 THEN 0.1 WHEN length(query) = 3 THEN 0.15 WHEN length(query) = 4 THEN 0.2 ELSE 0.25 END AS similar FROM (SELECT query, term, len(list_intersect({_grams('query')}, {_grams('term')}))::DOUBLE / len(list_distinct({_grams('query')} || {_grams('term')})) AS similarity FROM (SELECT DISTINCT substr(p_name, 1, 4) AS query, string_split(p_name, ' ')[1] AS term FROM part))")
+
 # -- upkeep of the change buffer -----------------------------------------------------------------------
 _add("removed_changes", lambda s, d: sync.removed(_rows(s, d), list(range(3000)), F.expr(_NOW)).select("element_id"), f"SELECT element_id FROM rows WHERE element_id >= 3000 OR status = 'processing' AND NOT claimed_at < {_NOW} - INTERVAL 3600 SECOND", _ROWS)
 _add("purged_status", lambda s, d: sync.purge_status(_rows(s, d), "failed").groupBy("status").agg(F.count("*").alias("n")), "SELECT status, count(*) AS n FROM rows WHERE status <> 'failed' GROUP BY status", _ROWS)

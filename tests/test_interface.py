@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from tesserine.functions import highlight
+from tesserine.functions.text import stop_words
 from tesserine.operators import interface as E
 from tesserine.plans import interface, reports, searches
 from tesserine.streaming import sync
@@ -104,6 +105,11 @@ def test_snippet_columns_equal_the_scalar_form(spark):
     assert got[2].h is None and got[2].f is None and got[2].p == [] and got[3].h is None and got[3].p == []
 
 
+def test_stop_words_are_lists():
+    for code, n in (("ar", 110), ("ja", 115), ("fr", 197)):
+        assert len(stop_words(code)) == n and len(set(stop_words(code))) == n, code
+
+
 def test_purge_knows_its_states():
     with pytest.raises(ValueError):
         sync.purge_status(None, "done")

@@ -299,3 +299,28 @@ class Engine:
 def public_language(code: Column) -> Column:
     """U4: a request's language, or null where it is none."""
     return F.when(F.trim(code) != "", language_code(code))
+
+
+def native_scores(hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """Q10: ``element_key, score`` of hits, the key made of element and site; of several sections the best counts."""
+    found = hits.join(documents.select(*I.KEY, "element_id"), I.KEY)
+    return found.groupBy(F.concat_ws("-", F.col("element_id").cast("string"), F.col("site_id").cast("string")).alias("element_key")).agg(F.max("score").alias("score"))
+
+
+def native_search(index: I.Index, query: str, wanted: DataFrame, indices: DataFrame, fallback: Callable[[str], DataFrame], stop: list[str] | None = None, s: R.Settings = R.Settings()) -> DataFrame:
+    """Q10: ``element_key, score`` from the index if it covers all of ``wanted(type, site_id)``, else what the native search ``fallback`` gives.
+
+    ``wanted`` and ``indices`` are configuration: a row for each type and site.
+    """
+    from tesserine.operators.metadata import uncovered
+
+    if not uncovered(wanted, indices).isEmpty():
+        return fallback(query)
+    sites = [r[0] for r in wanted.select("site_id").distinct().orderBy("site_id").collect()]
+    return native_scores(R.search_sites(index, query, sites, limit=0, stop=stop, s=s), index.documents)
+
+
+def usages(configurations: DataFrame, handle: Column | str) -> DataFrame:
+    """Of ``configurations(kind, name, references)`` those that refer to a handle."""
+    wanted = F.lit(handle) if isinstance(handle, str) else handle
+    return configurations.where(F.array_contains("references", wanted)).select("kind", "name")

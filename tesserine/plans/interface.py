@@ -101,6 +101,13 @@ _add("public_results", lambda s, d: E.Engine({"all": index(s, d), "english": _en
     UNION ALL SELECT element_id, title, type, 1, row_number() OVER (ORDER BY title, element_id) FROM docs WHERE starts_with(lower(title), 'th')
   ) WHERE r <= 15) WHERE n = 1""", DOCS_SQL)
 
+_covering = lambda s: s.createDataFrame([("entry", None, True, False)], "type string, site_id int, enabled boolean, restricted boolean")
+_native = lambda s, d, kind: E.native_search(index(s, d), A, s.createDataFrame([(kind, 1)], "type string, site_id int"), _covering(s), lambda q: documents(s, d).where(F.lower("title").contains(q)).select(F.concat_ws("-", F.col("element_id").cast("string"), F.lit("1")).alias("element_key"), F.lit(1.0).alias("score")), STOP, _PLAIN)
+_add("native_search", lambda s, d: _native(s, d, "entry"), f"SELECT replace(document_key, '_', '-') AS element_key, round(sum(base * {_W}), 6) AS score FROM scored WHERE term = '{A}' GROUP BY document_key", INDEX_SQL)
+_add("native_search_fallback", lambda s, d: _native(s, d, "product"), f"SELECT element_id::VARCHAR || '-1' AS element_key, 1.0::DOUBLE AS score FROM docs WHERE contains(lower(title), '{A}')", DOCS_SQL)
+_add("usages", lambda s, d: E.usages(read(s, d, "orders").join(read(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_orderstatus").alias("kind"), F.col("o_orderkey").cast("string").alias("name")).agg(F.collect_set(F.col("l_returnflag")).alias("references")), "R"),
+     "SELECT DISTINCT o_orderstatus AS kind, o_orderkey::VARCHAR AS name FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'")
+
 # -- requests and tracking --------------------------------------------------------------------------
 _add("accepted_requests", lambda s, d: E.accepted(read(s, d, "events").select((F.col("user_id") % 4).alias("key"), "ts", F.col("event_id").alias("id")), 1).select("key", "id"), "SELECT key, id FROM (SELECT user_id % 4 AS key, event_id AS id, row_number() OVER (PARTITION BY user_id % 4, date_trunc('minute', ts) ORDER BY ts, event_id) AS r FROM events) WHERE r <= 1")
 _HANDLES = ["", "A", "A, B", "X,A", "X", "A,B,C,D,E,F"]

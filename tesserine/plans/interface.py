@@ -172,6 +172,39 @@ _SNIPPET_SQL = DOCS_SQL + f""", found AS (
   SELECT *, CASE WHEN e < n AND back > 0 AND e - back > b + 75 THEN e - back ELSE e END AS z FROM cut
 )"""
 _add("hit_snippets", lambda s, d: documents(s, d).select("document_key", highlight.hit_snippet(F.col("content"), [A]).alias("snippet")).where("snippet is not null"), "SELECT document_key, CASE WHEN b > 0 THEN '...' ELSE '' END || trim(substr(t, b + 1, z - b), ' ' || chr(10) || chr(9)) || CASE WHEN z < n THEN '...' ELSE '' END AS snippet FROM ended", _SNIPPET_SQL)
+_WORD = "[^\\p{L}\\p{N}]"
+_ESCAPED = "regexp_replace(coalesce(title, ''), '<[^>]*>', '', 'g')"
+for _sign, _entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+    _ESCAPED = f"replace({_ESCAPED}, '{_sign}', '{_entity}')"
+# A sign after each separator lets two words that share one be found both.
+_add("title_highlights", lambda s, d: documents(s, d).select("document_key", highlight.highlight(F.col("title"), [A], css="hit <b> x-1").alias("title")),
+     f"SELECT document_key, replace(regexp_replace(regexp_replace({_ESCAPED}, '({_WORD})', '\\1' || chr(1), 'g'), '(^|{_WORD})(t[iíìîï][oóòôö][nñ])({_WORD}|$)', '\\1<mark class=\"hit x-1\">\\2</mark>\\3', 'gi'), chr(1), '') AS title FROM docs", DOCS_SQL)
+# Windows of 200 characters around the first match and around each next one that no earlier window covers.
+_SNIPPETS_SQL = DOCS_SQL + f""", parts AS (
+  SELECT document_key, content AS t, length(content) AS n, unnest(string_split(strip_accents(lower(content)), '{A}')) AS part, generate_subscripts(string_split(strip_accents(lower(content)), '{A}'), 1) AS k FROM docs WHERE contains(strip_accents(lower(content)), '{A}')
+), placed AS (
+  SELECT *, sum(length(part)) OVER w + {len(A)} * (k - 1) AS p, lead(part) OVER w AS next, max(k) OVER (PARTITION BY document_key) AS last FROM parts WINDOW w AS (PARTITION BY document_key ORDER BY k)
+), found AS (
+  SELECT document_key, t, n, p::BIGINT AS p FROM placed WHERE k < last AND CASE WHEN part = '' THEN k = 1 ELSE regexp_matches(right(part, 1), '{_WORD}') END AND CASE WHEN next = '' THEN k + 1 = last ELSE regexp_matches(left(next, 1), '{_WORD}') END
+), led AS (
+  SELECT *, greatest(0, p - {(200 - len(A)) // 2}) AS a FROM found
+), begun AS (
+  SELECT *, CASE WHEN a > 0 AND NOT regexp_matches(substr(t, a, 1), '\\s') AND instr(substr(t, a + 1, 30), ' ') > 0 THEN a + instr(substr(t, a + 1, 30), ' ') ELSE a END AS b FROM led
+), cut AS (
+  SELECT *, least(n, b + 200) AS e, instr(reverse(substr(t, b + 1, 200)), ' ') AS back FROM begun
+), ended AS (
+  SELECT *, CASE WHEN e < n AND back > 0 AND e - back > b + 100 THEN e - back ELSE e END AS z FROM cut
+), one AS (
+  SELECT document_key, min(p) AS p, arg_min(z, p) AS z FROM ended GROUP BY document_key
+), two AS (
+  SELECT document_key, min(x.p) AS p, arg_min(x.z, x.p) AS z FROM ended x JOIN one y USING (document_key) WHERE x.p >= y.z GROUP BY document_key
+), three AS (
+  SELECT document_key, min(x.p) AS p FROM ended x JOIN two y USING (document_key) WHERE x.p >= y.z GROUP BY document_key
+), chosen AS (
+  SELECT document_key, p FROM one UNION ALL SELECT document_key, p FROM two UNION ALL SELECT document_key, p FROM three
+)"""
+_add("content_snippets", lambda s, d: documents(s, d).select("document_key", highlight.snippets(F.col("content"), [A]).alias("s")).where("size(s) > 0").select("document_key", F.array_join("s", " | ").alias("snippets")),
+     "SELECT document_key, string_agg(CASE WHEN b > 0 THEN '...' ELSE '' END || trim(substr(t, b + 1, z - b), ' ' || chr(10) || chr(9)) || CASE WHEN z < n THEN '...' ELSE '' END, ' | ' ORDER BY p) AS snippets FROM ended JOIN chosen USING (document_key, p) GROUP BY document_key", _SNIPPETS_SQL)
 _add("heading_snippets", lambda s, d: _heading_snippets(s, d), f"SELECT page_id, title, CASE WHEN length(t) > 150 THEN substr(t, 1, 150) ELSE t END AS snippet FROM (SELECT page_id, title, ltrim(substr(body, length(title) + 2)) AS t FROM (SELECT page_id, title, title || ' ' || {_plain_sql(_without_sql('after', 'script', 'style', 'pre'))} AS body FROM named))", _PARTS_SQL)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,10 +18,18 @@ _TAG = r"<[^>]*>"
 LEVELS = (2, 3, 4)
 
 
+_ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def unescape(text: str) -> str:
+    """Entities that end in a semicolon decoded, once; what only begins like one stays."""
+    return _ENTITY.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" else html5.get(m[0][1:], m[0]), text)
+
+
 @F.pandas_udf(StringType())
 def decode_entities(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
-        yield s.map(html.unescape, na_action="ignore")
+        yield s.map(unescape, na_action="ignore")
 
 
 def block_boundaries(text: Column) -> Column:
@@ -78,7 +87,7 @@ def kebab(text: str) -> str:
 
 
 def _plain(fragment: str) -> str:
-    return re.sub(r"[\s\xa0]+", " ", html.unescape(re.sub(_TAG, "", re.sub(_BLOCKS, " ", fragment)))).strip()
+    return re.sub(r"[\s\xa0]+", " ", unescape(re.sub(_TAG, "", re.sub(_BLOCKS, " ", fragment)))).strip()
 
 
 _HTML_HEADING = re.compile(r"(?is)<h([1-6])\b([^>]*)>(.*?)</h\1>")

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from tesserine.functions.content import unescape
 from tesserine.functions.text import normalize_text, tokenize_text
 
 TAGS = ("mark", "em", "strong", "span", "b", "i", "u")
@@ -47,7 +48,7 @@ def highlight_text(text: str | None, terms: list[str], query: list[str] | None =
     if not text:
         return ""
     if strip:
-        text = html.unescape(re.sub(r"<[^>]*>", "", text))
+        text = unescape(re.sub(r"<[^>]*>", "", text))
     tag = tag if tag in TAGS else "mark"
     css = class_tokens(css)
     opened, at, out = f'<{tag} class="{css}">' if css else f"<{tag}>", 0, []

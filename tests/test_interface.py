@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from tesserine.functions import highlight
+from tesserine.functions.content import unescape
 from tesserine.functions.text import stop_words
 from tesserine.operators import interface as E
 from tesserine.plans import interface, reports, searches
@@ -110,6 +111,10 @@ def test_stop_words_are_lists():
         assert len(stop_words(code)) == n and len(set(stop_words(code))) == n, code
 
 
+def test_entities_end_in_a_semicolon():
+    assert unescape("a &amp; b &amp c &notit; &not; &#65; &#x42; &amp;lt; &nosuch; &") == "a & b &amp c &notit; ¬ A B &lt; &nosuch; &"
+
+
 def test_purge_knows_its_states():
     with pytest.raises(ValueError):
         sync.purge_status(None, "done")
